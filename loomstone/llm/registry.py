@@ -1,8 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import token_ids
+from loomstone.llm import mixing, quality, sharding, token_ids
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_mixing": mixing.op8_mixing,
     "op9_token_ids": token_ids.op9_token_ids,
 }
 ORACLES: dict[str, str] = {}
