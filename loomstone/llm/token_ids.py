@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import store
-from loomstone.llm.kernels import U64, buffers, mix64
+from loomstone.llm.kernels import U64, buffers, mix64, slices
 
 MAGIC = b"LMSIDX01"
 GAMMA = 2.0
@@ -179,58 +179,96 @@ class WordMemo:
     """Encodes texts word by word, each distinct word once.
 
     The tokenizer never joins characters across white space, so the ids of a
-    text are those of its words in order. A memo of bounded size keeps the ids
-    of words already met.
+    text are those of its words in order. Nor does it join a letter with the
+    punctuation after it, so a word is encoded as stem and ending, and the stem
+    of an ASCII word in lower case, which is what the tokenizer makes of it.
+    Memos of bounded size keep the ids, as bytes, of words and parts met lately.
     """
 
+    ENDING = ".,;:!?|$%&*#()[]-+="
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.sep = self.tok.token_to_id(SEPARATOR)
-        self.memo: dict[str, np.ndarray] = {}
-        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
-        odd = [i for i, w in enumerate(words) if "<|" in w]
-        for i in odd:
-            out[i] = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, self.kind)
-        plain = [i for i in range(len(words)) if out[i] is None]
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _split(self, word: str) -> tuple[str, str]:
+        stem = word.rstrip(self.ENDING)
+        if "<|" in word or not stem or not (stem[-1].isascii() and stem[-1].isalpha()):
+            return word, ""
+        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain = []
+        for i, x in enumerate(texts):
+            if "<|" in x:
+                out[i] = np.array(self.tok.encode(x, add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                plain.append(i)
+        size = self.kind.itemsize
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            text = f" {SEPARATOR} ".join(words[i] for i in part)
+            text = f" {SEPARATOR} ".join([texts[i] for i in part])
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            for i, x in zip(part, np.split(ids, np.flatnonzero(ids == self.sep)), strict=True):
-                out[i] = x[1:] if len(x) and x[0] == self.sep else x
+            ends = (np.flatnonzero(ids == self.sep) * size).tolist()
+            raw = ids.tobytes()
+            for i, a, b in zip(part, [0, *(e + size for e in ends)], [*ends, len(raw)], strict=True):
+                out[i] = raw[a:b]
         return out
 
+    @staticmethod
+    def _known(memo: tuple[dict, dict], items: list[str], made) -> list[bytes]:
+        """Values of the distinct items; made() gives those of items in neither dict. The older dict goes when the newer is full."""
+        new, old = memo
+        missing = []
+        for x in items:
+            if x not in new:
+                got = old.get(x)
+                if got is None:
+                    missing.append(x)
+                else:
+                    new[x] = got
+        new.update(zip(missing, made(missing), strict=True))
+        return [new[x] for x in items]
+
+    @staticmethod
+    def _aged(memo: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, memo[0]) if len(memo[0]) > MEMO_WORDS else memo
+
+    def _compose(self, words: list[str]) -> list[bytes]:
+        pairs = [self._split(w) for w in words]
+        parts = list({x for pair in pairs for x in pair})
+        of = dict(zip(parts, self._known(self.parts, parts, self._encode), strict=True))
+        self.parts = self._aged(self.parts)
+        return [of[a] + of[b] if b else of[a] for a, b in pairs]
+
     def encode(self, col: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per row); each row ends with `end` if given."""
         if col.null_count:
             col = pc.fill_null(col, "")
         lists = pc.ascii_split_whitespace(col)
-        flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        coded = lists.flatten().dictionary_encode()
+        vals = self._known(self.words, coded.dictionary.to_pylist(), self._compose)
+        self.words = self._aged(self.words)
         which = coded.indices.to_numpy(zero_copy_only=False)
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, words
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        parts = [self.memo[w] for w in words]
-        size = np.array([len(x) for x in parts], np.int64)
-        table = np.concatenate(parts) if parts else np.zeros(0, self.kind)
-        at = np.concatenate([[0], np.cumsum(size)])
-        n = size[which] if len(which) else np.zeros(0, np.int64)
-        offs = np.asarray(lists.offsets, np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
-        total = np.concatenate([[0], np.cumsum(n)])
-        rows = total[offs] if len(lists) else np.zeros(1, np.int64)
-        ids = table[np.repeat(at[which] - total[:-1], n) + np.arange(total[-1])] if len(which) else np.zeros(0, self.kind)
-        if end is None:
-            return ids, np.diff(rows)
-        return np.insert(ids, rows[1:], self.kind(end)), np.diff(rows) + 1
+        offs = np.asarray(lists.offsets, np.int64)
+        offs = offs - offs[0]
+        if end is not None:  # one more word closes each row
+            which = np.insert(which, offs[1:], len(vals))
+            vals.append(np.array([end], self.kind).tobytes())
+            offs = offs + np.arange(len(offs))
+        table = np.frombuffer(b"".join(vals), self.kind)
+        size = np.fromiter(map(len, vals), np.int64, len(vals)) // self.kind.itemsize
+        total = np.concatenate([[0], np.cumsum(size[which])])
+        move = (np.cumsum(size) - size)[which] - total[:-1]
+        ids = table[np.repeat(move, size[which]) + np.arange(total[-1])]
+        return ids, np.diff(total[offs])
 
 
 def memo(path: str) -> WordMemo:
@@ -264,7 +302,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
         files, base = store.open_fs(folder)
         files.create_dir(base, recursive=True)
         coder, part, seq = memo(tokenizer), TaskContext.get().partitionId(), 0
-        width = np.dtype(coder.kind).itemsize
+        width = coder.kind.itemsize
         keys: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         out, name, held = None, "", 0
@@ -284,14 +322,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
         for batch in batches:
             _, offs = buffers(batch.column("t"))
-            for lo in range(0, len(offs) - 1, 1000):
-                col = batch.column("t").slice(lo, 1000)
+            for lo, hi in slices(offs, 8 << 20):
+                col = batch.column("t").slice(lo, hi - lo)
                 ids, n = coder.encode(col, end)
                 if out is None:
                     name, held = f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}", 0
                     out = files.open_output_stream(f"{base}/{name}.ids")
-                out.write(ids.astype(f"<u{width}").tobytes())
-                keys.append(batch.column("k").slice(lo, 1000).to_numpy())
+                out.write(ids.tobytes())
+                keys.append(batch.column("k").slice(lo, hi - lo).to_numpy())
                 lengths.append(n)
                 held += len(ids)
                 if held >= shard_ids:
