@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import decontaminate, jaccard, mixing, quality, sharding, token_ids
+from loomstone.llm import chat, decontaminate, jaccard, mixing, quality, sharding, token_ids
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_chat": chat.op5_chat,
     "op6_sharding": sharding.op6_sharding,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
