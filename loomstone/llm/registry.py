@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import chat, decontaminate, jaccard, mixing, quality, sharding, token_ids
+from loomstone.llm import chat, decontaminate, jaccard, licences, mixing, quality, sharding, token_ids
 
 QUERIES = {
+    "op1_licences": licences.op1_licences,
     "op2_quality": quality.op2_quality,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_chat": chat.op5_chat,
