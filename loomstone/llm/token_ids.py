@@ -178,14 +178,14 @@ _loaded: dict[str, object] = {}
 class WordMemo:
     """Encodes texts word by word, each distinct word once.
 
-    The tokenizer never joins characters across white space, so the ids of a
-    text are those of its words in order. Nor does it join a letter with the
-    punctuation after it, so a word is encoded as stem and ending, and the stem
-    of an ASCII word in lower case, which is what the tokenizer makes of it.
-    Memos of bounded size keep the ids, as bytes, of words and parts met lately.
+    The tokenizer never joins characters across white space, nor a letter with
+    the punctuation after it, and it lowers capitals itself; so the ids of a
+    text are those of its words, cut before closing punctuation and in lower
+    case, in order. A memo of bounded size keeps the ids, as bytes, of words met
+    lately. Texts that hold the beginning of a special token are encoded whole.
     """
 
-    ENDING = ".,;:!?|$%&*#()[]-+="
+    CLOSING = r"([A-Za-z])([.,;:!?|$%&*#()\[\]=+-]+)(\s|$)"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -194,80 +194,58 @@ class WordMemo:
         self.tok = Tokenizer.from_file(path)
         self.sep = self.tok.token_to_id(SEPARATOR)
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _split(self, word: str) -> tuple[str, str]:
-        stem = word.rstrip(self.ENDING)
-        if "<|" in word or not stem or not (stem[-1].isascii() and stem[-1].isalpha()):
-            return word, ""
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        plain = []
-        for i, x in enumerate(texts):
-            if "<|" in x:
-                out[i] = np.array(self.tok.encode(x, add_special_tokens=False).ids, self.kind).tobytes()
-            else:
-                plain.append(i)
-        size = self.kind.itemsize
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            text = f" {SEPARATOR} ".join([texts[i] for i in part])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out, size = [], self.kind.itemsize
+        for lo in range(0, len(words), 4000):
+            text = f" {SEPARATOR} ".join(words[lo : lo + 4000])
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             ends = (np.flatnonzero(ids == self.sep) * size).tolist()
             raw = ids.tobytes()
-            for i, a, b in zip(part, [0, *(e + size for e in ends)], [*ends, len(raw)], strict=True):
-                out[i] = raw[a:b]
+            out += [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)]
         return out
 
-    @staticmethod
-    def _known(memo: tuple[dict, dict], items: list[str], made) -> list[bytes]:
-        """Values of the distinct items; made() gives those of items in neither dict. The older dict goes when the newer is full."""
-        new, old = memo
-        missing = []
-        for x in items:
-            if x not in new:
-                got = old.get(x)
-                if got is None:
-                    missing.append(x)
-                else:
-                    new[x] = got
-        new.update(zip(missing, made(missing), strict=True))
-        return [new[x] for x in items]
-
-    @staticmethod
-    def _aged(memo: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, memo[0]) if len(memo[0]) > MEMO_WORDS else memo
-
-    def _compose(self, words: list[str]) -> list[bytes]:
-        pairs = [self._split(w) for w in words]
-        parts = list({x for pair in pairs for x in pair})
-        of = dict(zip(parts, self._known(self.parts, parts, self._encode), strict=True))
-        self.parts = self._aged(self.parts)
-        return [of[a] + of[b] if b else of[a] for a, b in pairs]
+    def _known(self, words: list[str]) -> list[bytes]:
+        new, old = self.new, self.old
+        got = [new.get(x) or old.get(x) for x in words]
+        missing = [i for i, x in enumerate(got) if x is None]
+        for i, v in zip(missing, self._encode([words[i] for i in missing]), strict=True):
+            got[i] = v
+        new.update(zip(words, got, strict=True))
+        if len(new) > MEMO_WORDS:
+            self.new, self.old = {}, new
+        return got
 
     def encode(self, col: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per row); each row ends with `end` if given."""
         if col.null_count:
             col = pc.fill_null(col, "")
-        lists = pc.ascii_split_whitespace(col)
+        odd = np.flatnonzero(pc.match_substring(col, "<|").to_numpy(zero_copy_only=False))
+        whole = {int(i): np.array(self.tok.encode(col[int(i)].as_py(), add_special_tokens=False).ids, self.kind).tobytes() for i in odd}
+        if whole:
+            mask = np.zeros(len(col), bool)
+            mask[odd] = True
+            col = pc.if_else(pa.array(mask), "", col)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(col, self.CLOSING, r"\1 \2\3")))
         coded = lists.flatten().dictionary_encode()
-        vals = self._known(self.words, coded.dictionary.to_pylist(), self._compose)
-        self.words = self._aged(self.words)
+        vals = self._known(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False)
         offs = np.asarray(lists.offsets, np.int64)
         offs = offs - offs[0]
-        if end is not None:  # one more word closes each row
-            which = np.insert(which, offs[1:], len(vals))
-            vals.append(np.array([end], self.kind).tobytes())
-            offs = offs + np.arange(len(offs))
+        last = np.full(len(col), len(vals), np.int64)  # one more word closes each row, whole texts among them
+        vals.append(b"" if end is None else np.array([end], self.kind).tobytes())
+        for i, v in whole.items():
+            last[i] = len(vals)
+            vals.append(v + vals[len(coded.dictionary)])
+        which = np.insert(which, offs[1:], last)
+        offs = offs + np.arange(len(offs))
         table = np.frombuffer(b"".join(vals), self.kind)
         size = np.fromiter(map(len, vals), np.int64, len(vals)) // self.kind.itemsize
-        total = np.concatenate([[0], np.cumsum(size[which])])
-        move = (np.cumsum(size) - size)[which] - total[:-1]
-        ids = table[np.repeat(move, size[which]) + np.arange(total[-1])]
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat((np.cumsum(size) - size)[which] - total[:-1], n) + np.arange(total[-1])]
         return ids, np.diff(total[offs])
 
 
