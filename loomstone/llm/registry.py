@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import chat, decontaminate, jaccard, licences, mixing, quality, sharding, token_ids
+from loomstone.llm import chat, decontaminate, jaccard, licences, media, mixing, quality, sharding, token_ids
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
     "op2_quality": quality.op2_quality,
+    "op3_media": media.op3_media,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_chat": chat.op5_chat,
     "op6_sharding": sharding.op6_sharding,
