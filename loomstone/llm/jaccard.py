@@ -9,10 +9,12 @@ pass length, positional and suffix filters, are made distinct, and are verified
 once on the full sets.
 
 All pairs of a large cluster are never formed. First every row of a token meets
-only the token's smallest set; verified links give provisional components. Then
-the tokens with three sets or more whose sets lie in different components are
-joined with themselves, across components only. A link inside a component needs
-no pair, a link across has one, so the components are those of all links.
+only the token's smallest set; verified links give provisional components. While
+many pairs across components remain, each open token picks another set by hash
+for its rows to meet, so a cluster grows together in a few linear rounds. The
+pairs still left, across components only and past the suffix filter, are then
+joined and verified. A link inside a component needs no pair, a link across has
+one, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from loomstone.llm.kernels import U64, Words, buffers, mix64, shingles, slices
 
 SKETCH = 1 << 20
 PART = 1 << 14
-BANDS = 32
+BANDS = 64
+#: Pairs across components, per row of the open tokens, up to which they are joined at once; rounds before that at most.
+FEW, ROUNDS = 2, 5
 #: Frequency class from which a token's rows are dealt to several tasks.
 HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
@@ -157,11 +161,17 @@ def _may_link(n: str, pos: str, other: str, other_pos: str):
     return (n_ * DOWN >= m_ * UP) & (left * (UP + DOWN) >= (n_ + m_) * UP)
 
 
-def _unlike(a: str, b: str):
-    """Suffix filter: the overlap cannot exceed the smaller counts of the sets' bands, cut at fixed pivots."""
+def _overlap_bound(a: str, b: str):
+    """Suffix filter: with the sets cut into bands at fixed pivots, the overlap cannot exceed the sum of the smaller counts."""
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
+def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """vertices with root, the smallest vid of their component."""
+    roots = graph.components(links, tag).withColumnRenamed("id", "vid")
+    return vertices.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+
+
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     """The pairs (sa, na, sb, nb) that link, as a and b (each vertex's smallest doc_id).
 
@@ -170,7 +180,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
     where the two are compared.
     """
     va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
-    alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_unlike("fa", "fb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP)
+    alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_overlap_bound("fa", "fb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP)
     alike = store.written(alike.select("a", "b").distinct(), f"{tag}-pairs")
     wanted = alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id"))).distinct()
     wanted = wanted.join(vertices.select(F.col("vid").alias("doc_id"), "sig"), "doc_id")
@@ -241,20 +251,38 @@ def linked(docs: DataFrame) -> DataFrame:
     met = (F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))
     met = store.written(stars.where(met).select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
     pairs = met.where((F.col("sig") != F.col("sig0")) & _may_link("n0", "pos0", "n", "pos"))
-    pairs = pairs.select(F.col("sig0").alias("sa"), F.col("n0").alias("na"), F.col("sig").alias("sb"), F.col("n").alias("nb")).distinct()
+    pairs = store.written(pairs.select(F.col("sig0").alias("sa"), F.col("n0").alias("na"), F.col("sig").alias("sb"), F.col("n").alias("nb")).distinct(), "gram-star")
     first_links = verified(pairs, vertices, docs, "star")
-    roots = graph.components(first_links, "star-components")
-    # Second round: tokens of three sets or more that lie in different components.
-    known = vertices.select("sig", "n", "vid").join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("sig", "n", F.coalesce("root", "vid").alias("root"))
-    rows = met.select("token", "sig", "n", "pos").join(known, ["sig", "n"])
-    open_ = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("r0") != F.col("r1")) & ((F.col("k") > 2) | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))).select("token")
-    rows = store.written(rows.join(open_, "token", "left_semi"), "gram-open")
-    left, right = (rows.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root"))) for x in "ab")
-    across = left.join(right, "token").where((F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb"))
-    across = across.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(pairs, ["sa", "na", "sb", "nb"], "left_anti")
-    links = first_links.unionByName(verified(across, vertices, docs, "across"))
-    roots = graph.components(links, "gram-components")
-    named = vertices.select("sig", "n", "vid").join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("sig", "n", F.coalesce("root", "vid").alias("root"))
+    links, tested, open_, before = first_links, pairs, None, None
+    for turn in range(ROUNDS + 1):
+        known = _linked_so_far(vertices, links, "star-components").select("sig", "n", "root", "bands")
+        rows = (met.select("token", "sig", "n", "pos") if open_ is None else open_.select("token", "sig", "n", "pos")).join(known, ["sig", "n"])
+        share = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("k"))
+        across = (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2
+        share = share.groupBy("token").agg(across.alias("across"), F.sum("k").alias("k"))
+        # Two sets under a token have met already, unless the token was dealt out.
+        share = share.where((F.col("across") > 0) & ((F.col("k") > 2) | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))).select("token", "across")
+        open_ = store.written(rows.join(share, "token"), "gram-open")
+        size = open_.groupBy("token").agg(F.first("across").alias("x"), F.count("*").alias("n")).agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
+        ways = size["x"] or 0.0
+        if turn == ROUNDS or ways <= FEW * (size["n"] or 0) or (before is not None and ways > 0.9 * before):
+            break
+        before = ways
+        by = Window.partitionBy("token").orderBy(F.xxhash64("sig", F.lit(turn)), "n", "sig").rowsBetween(Window.unboundedPreceding, 0)
+        star = open_.select("*", *(F.first(c).over(by).alias(f"{c}0") for c in ("sig", "n", "pos", "root"))).where("root <> root0")
+        this, that = (F.struct(F.col(f"n{x}").alias("n"), F.col(f"sig{x}").alias("sig"), F.col(f"pos{x}").alias("pos")) for x in ("", "0"))
+        star = star.select(F.least(this, that).alias("a"), F.greatest(this, that).alias("b"))
+        star = star.select(*(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("n", "sig", "pos"))).where(_may_link("na", "posa", "nb", "posb"))
+        star = star.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
+        star = store.written(star, "gram-star")
+        links, tested = links.unionByName(verified(star, vertices, docs, "star")), tested.unionByName(star)
+    one, two = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
+    meets = (F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb")
+    alike = _overlap_bound("bandsa", "bandsb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP
+    rest = one.join(two, (one["token"] == two["token"]) & meets & alike)
+    rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
+    links = links.unionByName(verified(rest, vertices, docs, "across"))
+    named = _linked_so_far(vertices, links, "gram-components").select("sig", "n", "root")
     out = members.select("doc_id", "n", "sig").join(named, ["sig", "n"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
