@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import chat, decontaminate, jaccard, licences, media, mixing, quality, sharding, token_ids
+from loomstone.llm import chat, decontaminate, jaccard, licences, media, mixing, quality, sharding, suffixes, token_ids
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_ids": token_ids.op9_token_ids,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 ORACLES: dict[str, str] = {}
