@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.functions.text import _col
 
@@ -158,7 +159,7 @@ def json_path(path: str):
     """
     steps(path)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for group in texts:
