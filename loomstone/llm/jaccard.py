@@ -9,9 +9,10 @@ pass length, positional and suffix filters, are made distinct, and are verified
 once on the full sets.
 
 All pairs of a large cluster are never formed. First every row of a token meets
-only the token's smallest set; verified links give provisional components. While
-many pairs across components remain, each open token picks another set by hash
-for its rows to meet, so a cluster grows together in a few linear rounds. The
+only one set, which the token picks by hash; verified links give provisional
+components. While many pairs across components remain, each open token picks
+another set for its rows to meet, so a cluster grows together in a few linear
+rounds. The
 pairs still left, across components only and past the suffix filter, are then
 joined and verified. A link inside a component needs no pair, a link across has
 one, so the components are those of all links.
@@ -181,9 +182,8 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
     """
     va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
     alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_overlap_bound("fa", "fb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP)
-    alike = store.written(alike.select("a", "b").distinct(), f"{tag}-pairs")
-    wanted = alike.select(F.col("a").alias("doc_id")).unionByName(alike.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = wanted.join(vertices.select(F.col("vid").alias("doc_id"), "sig"), "doc_id")
+    alike = store.written(alike.select("sa", "sb", "a", "b").distinct(), f"{tag}-pairs")
+    wanted = alike.select(F.col("sa").alias("sig"), F.col("a").alias("doc_id")).unionByName(alike.select(F.col("sb").alias("sig"), F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +193,13 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
                 h, first = _gram_sets(data, offs[lo : hi + 1])
                 own = np.flatnonzero(_signatures(h, first) == sig[lo:hi])  # a doc_id may stand for several texts
                 blob = [h[first[i] : first[i + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(own)), pa.array(sig[lo:hi][own]), pa.array(blob, pa.binary())], ["vid", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[lo:hi][own]), pa.array(blob, pa.binary())], ["sig", "grams"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "sig", "text")
-    full = texts.mapInArrow(sets, "vid long, sig long, grams binary").dropDuplicates(["vid", "sig"]).select("vid", "grams")
-    full = store.written(full, f"{tag}-sets")
-    asked = alike.join(full.withColumnRenamed("vid", "b"), "b").select("a", "b", "grams")
-    rows = full.select(F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"), "grams").join(alike.select("a"), "a", "left_semi").unionByName(asked)
+    full = store.written(texts.mapInArrow(sets, "sig long, grams binary").dropDuplicates(["sig"]), f"{tag}-sets")
+    asked = alike.join(full.withColumnRenamed("sig", "sb"), "sb").select("sa", "sb", "a", "b", "grams")
+    none = F.lit(None).cast("long")
+    rows = full.select(F.col("sig").alias("sa"), none.alias("sb"), none.alias("a"), none.alias("b"), "grams").join(alike.select("sa"), "sa", "left_semi").unionByName(asked)
     n = store.partitions(docs.sparkSession)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,21 +212,36 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
 
         for batch in batches:
             got = []
-            for a, b, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
-                a, b, g = a.as_py(), b.as_py(), grams(blob.as_py())
-                if b is None:
-                    held, mine = a, g
+            for sa, sb, a, b, blob in zip(*(batch.column(i) for i in range(5)), strict=True):
+                sa, g = sa.as_py(), grams(blob.as_py())
+                if not sb.is_valid:
+                    held, mine = sa, g
                     continue
-                if held != a:
+                if held != sa:
                     raise ValueError("a pair came without its first set")
                 both = np.concatenate([mine, g])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 if same * (UP + DOWN) >= UP * len(both):
-                    got.append((a, b))
+                    got.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
-    return store.written(rows.repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long"), f"{tag}-links")
+    return store.written(rows.repartition(n, "sa").sortWithinPartitions("sa", F.col("sb").asc_nulls_first()).mapInArrow(compare, "a long, b long"), f"{tag}-links")
+
+
+def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
+    """rows with the fields of the set that each token picks in this turn, suffixed 0, and whether others stand beside."""
+    by = Window.partitionBy("token", way).orderBy(F.xxhash64("sig", "token", F.lit(turn)), "n", "sig")
+    first = by.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *(F.first(c).over(first).alias(f"{c}0") for c in ("sig", "n", "pos", *more)), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"))
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    """Distinct (sa, na, sb, nb), na at most nb, of rows and their picked sets that pass the filters."""
+    this, that = (F.struct(F.col(f"n{x}").alias("n"), F.col(f"sig{x}").alias("sig"), F.col(f"pos{x}").alias("pos")) for x in ("", "0"))
+    both = stars.select(F.least(this, that).alias("a"), F.greatest(this, that).alias("b"))
+    both = both.select(*(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("n", "sig", "pos"))).where(_may_link("na", "posa", "nb", "posb"))
+    return both.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -241,17 +256,12 @@ def linked(docs: DataFrame) -> DataFrame:
     members = surveyed.where("kind = 0").select("doc_id", "n", "sig", "bands")
     vertices = members.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("vid"), F.first("bands").alias("bands"))
     vertices = store.written(vertices, "gram-vertices")
-    tokens = prefixes(docs, classes(surveyed))
-    # Rows of a very frequent token are dealt to HOT_WAYS tasks; what meets across them, meets in the second round.
-    way = F.when(F.shiftrightunsigned("token", 56) >= HOT_CLASS, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0)
-    by = Window.partitionBy("token", "way").orderBy("n", "sig")
-    sofar = by.rowsBetween(Window.unboundedPreceding, 0)
-    stars = tokens.withColumn("way", way)
-    stars = stars.select("*", *(F.first(c).over(sofar).alias(f"{c}0") for c in ("sig", "n", "pos")), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"))
-    met = (F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))
-    met = store.written(stars.where(met).select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
-    pairs = met.where((F.col("sig") != F.col("sig0")) & _may_link("n0", "pos0", "n", "pos"))
-    pairs = store.written(pairs.select(F.col("sig0").alias("sa"), F.col("n0").alias("na"), F.col("sig").alias("sb"), F.col("n").alias("nb")).distinct(), "gram-star")
+    # Rows of a very frequent token are dealt to HOT_WAYS tasks; what doesn't meet there meets in later rounds.
+    hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
+    stars = _starred(prefixes(docs, classes(surveyed)), 0, F.when(hot, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0))
+    met = stars.where((F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | hot))
+    met = store.written(met.select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
+    pairs = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))), "gram-star")
     first_links = verified(pairs, vertices, docs, "star")
     links, tested, open_, before = first_links, pairs, None, None
     for turn in range(ROUNDS + 1):
@@ -268,12 +278,7 @@ def linked(docs: DataFrame) -> DataFrame:
         if turn == ROUNDS or ways <= FEW * (size["n"] or 0) or (before is not None and ways > 0.9 * before):
             break
         before = ways
-        by = Window.partitionBy("token").orderBy(F.xxhash64("sig", F.lit(turn)), "n", "sig").rowsBetween(Window.unboundedPreceding, 0)
-        star = open_.select("*", *(F.first(c).over(by).alias(f"{c}0") for c in ("sig", "n", "pos", "root"))).where("root <> root0")
-        this, that = (F.struct(F.col(f"n{x}").alias("n"), F.col(f"sig{x}").alias("sig"), F.col(f"pos{x}").alias("pos")) for x in ("", "0"))
-        star = star.select(F.least(this, that).alias("a"), F.greatest(this, that).alias("b"))
-        star = star.select(*(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("n", "sig", "pos"))).where(_may_link("na", "posa", "nb", "posb"))
-        star = star.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
+        star = _pairs(_starred(open_, turn + 1, F.lit(0), "root").where("root <> root0")).join(tested, ["sa", "na", "sb", "nb"], "left_anti")
         star = store.written(star, "gram-star")
         links, tested = links.unionByName(verified(star, vertices, docs, "star")), tested.unionByName(star)
     one, two = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
