@@ -31,17 +31,18 @@ from loomstone.llm.kernels import BYTE_HASH, SLICE_BYTES, U64, buffers, mix64, p
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 #: Anchors of a bucket, and segment bytes of a bucket, about.
-BUCKET_ANCHORS, BUCKET_BYTES = 800_000, 2_000_000
+BUCKET_ANCHORS, BUCKET_BYTES = 800_000, 1_500_000
 DEPTH, SYMBOLS = 8, 7
 
 
 # --- suffix array ---------------------------------------------------------
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
+def suffix_array(t: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
     """Positions of t (numbers below 512) in the order of the suffixes' first DEPTH * SYMBOLS - 1 symbols at least.
 
     A suffix that is larger than its successor is induced: its place follows
-    from its first symbol and the successor's place.
+    from its first symbol and the successor's place. asked: a mask of the
+    positions to order, if not all; those that they are induced from come too.
     """
     n = len(t)
     if not n:
@@ -53,27 +54,39 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     where = np.where(step != 0, np.arange(n), n)
     where = np.minimum.accumulate(where[::-1])[::-1]
     larger = step[where] > 0
-    small = np.flatnonzero(~larger)
+    need = np.ones(n, bool)
+    if asked is not None:
+        # From each asked suffix on up to the next that is sorted directly.
+        stop = np.where(larger, n - 1, np.arange(n))
+        stop = np.minimum.accumulate(stop[::-1])[::-1]
+        edge = np.zeros(n + 1, np.int32)
+        last = np.flatnonzero(asked & ~np.append(asked[1:], False))
+        np.add.at(edge, last, 1)
+        np.add.at(edge, stop[last] + 1, -1)
+        need = asked | (np.cumsum(edge[:-1]) > 0)
+    small = np.flatnonzero(~larger & need)
     order = _direct(t, small)
     # Buckets by first symbol: induced suffixes before directly sorted ones.
     first = t[order]
     cut = np.searchsorted(first, np.arange(514))
     waiting: list[list[np.ndarray]] = [[] for _ in range(513)]
-    waiting[int(t[-1])].append(np.array([n - 1]))
+    if need[-1]:
+        waiting[int(t[-1])].append(np.array([n - 1]))
     out = []
     for c in np.unique(t).tolist():
         part = np.concatenate([*waiting[c], np.zeros(0, np.int64)]).astype(np.int64)
         induced, last = [part], part
         while len(last):  # a run of c: each is induced by the next
             p = last[last > 0] - 1
-            last = p[t[p] == c]
+            last = p[(t[p] == c) & need[p]]
             induced.append(last)
         done = np.concatenate([*induced, order[cut[c] : cut[c + 1]]])
         out.append(done)
         waiting[c] = []
         p = done[done > 0] - 1
         s = t[p]
-        p, s = p[s > c], s[s > c]
+        up = (s > c) & need[p]
+        p, s = p[up], s[up]
         if len(p):
             by = np.argsort(s, kind="stable")
             p, s = p[by], s[by]
@@ -118,10 +131,10 @@ def repeats(text: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.nda
     new = start + np.arange(n)
     place = np.repeat(new - start, size) + np.arange(len(text))
     t[place] = text.astype(np.uint16) + 1
-    sa = suffix_array(t)
     whole = np.zeros(len(t), bool)
     left = np.repeat(start + size, size) - np.arange(len(text))
     whole[place[left >= SPAN]] = True
+    sa = suffix_array(t, whole)
     sa = sa[whole[sa]]
     back = np.zeros(len(t), np.int64)
     back[place] = np.arange(len(text))
@@ -211,7 +224,7 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in KEYS)
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, SLICE_BYTES // 2):
                 r = Runs(data, offs[lo : hi + 1])
                 own = np.lexsort((ids[lo:hi], keys[lo:hi]))  # of equal texts the smallest id speaks
                 k = keys[lo:hi][own]
@@ -419,9 +432,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     copies = store.written(digest.join(lead, "sha").where("doc_id > lead").select("doc_id", "key").distinct(), "text-copies")
     parts = store.partitions(docs.sparkSession)
     anchors = shared_anchors(long, max(parts, int(total * 2 / (WINDOW + 1) / BUCKET_ANCHORS)))
-    wanted = anchors.groupBy(*KEYS).agg(F.collect_list("hashes").alias("hashes")).join(copies, KEYS, "left_anti")  # a text's own anchors
+    wanted = anchors.groupBy(*KEYS).agg(F.collect_list("hashes").alias("hashes"))  # a text's own anchors
     wanted = store.written(wanted, "text-anchors")
-    found = repeated_runs(long.join(wanted, KEYS).select("doc_id", "key", "text", "hashes"), max(parts, int(total / BUCKET_BYTES)))
+    found = repeated_runs(long.join(copies, KEYS, "left_anti").join(wanted, KEYS).select("doc_id", "key", "text", "hashes"), max(parts, int(total / BUCKET_BYTES)))
     spans = found.groupBy(*KEYS).agg(F.collect_list("spans").alias("spans"))  # a text's own spans
     spans = store.written(spans, "text-spans").unionByName(copies.select(*KEYS, F.lit(None).cast("array<binary>").alias("spans")))
     rows = base.withColumn("n", size).join(spans.withColumn("hit", F.lit(True)), KEYS, "left")
