@@ -30,8 +30,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = store.written(e, tag)
     while True:
-        split = e.groupBy("u").count().where("count > 1").limit(1)
-        middle = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u").limit(1)
-        if not split.count() and not middle.count():
+        # Done when all edges are stars: each child has one edge, and no root is a child.
+        ends = e.select("u", F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        seen = ends.groupBy("u").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+        if not seen.where("child > 1 or (child = 1 and root = 1)").agg(F.count("*")).first()[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         e = store.written(_small(_large(e).distinct()).distinct(), tag)

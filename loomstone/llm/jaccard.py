@@ -32,9 +32,11 @@ from loomstone.llm.kernels import U64, Words, buffers, mix64, shingles, slices
 
 SKETCH = 1 << 20
 PART = 1 << 14
-BANDS = 64
+#: Bands of the suffix filter; the parity of each band's size is a bit of so many 64-bit words.
+BANDS = 512
+WORDS = BANDS // 64
 #: Pairs across components, per row of the open tokens, up to which they are joined at once; rounds before that at most.
-FEW, ROUNDS = 2, 5
+FEW, ROUNDS = 2, 2
 #: Frequency class from which a token's rows are dealt to several tasks.
 HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
@@ -69,7 +71,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & U64(SKETCH - 1)).astype(np.int64)
 
 
-SETS = "kind int, doc_id long, n long, sig long, bands array<int>, part int, counts binary"
+SETS = "kind int, doc_id long, n long, sig long, bands array<long>, part int, counts binary"
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -85,13 +87,13 @@ def survey(docs: DataFrame) -> DataFrame:
                 n, rows = np.diff(first), hi - lo
                 np.add(total, np.bincount(_bucket(h), minlength=SKETCH).astype(np.uint32), out=total)
                 band = np.repeat(np.arange(rows), n) * BANDS + (h >> U64(20) & U64(BANDS - 1)).astype(np.int64)
-                bands = pa.array(np.bincount(band, minlength=rows * BANDS).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), bands)
+                odd = (np.bincount(band, minlength=rows * BANDS) & 1).astype(np.uint8)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * WORDS), pa.array(np.packbits(odd).view(np.int64)))
                 cols = [pa.array(np.zeros(rows, np.int32)), ids.slice(lo, rows), pa.array(n), pa.array(_signatures(h, first)), lists, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
         if total.any():
             k = SKETCH // PART
-            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(k, PART)], pa.binary())]
+            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(k, PART)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["kind", "doc_id", "n", "sig", "bands", "part", "counts"]
@@ -162,9 +164,11 @@ def _may_link(n: str, pos: str, other: str, other_pos: str):
     return (n_ * DOWN >= m_ * UP) & (left * (UP + DOWN) >= (n_ + m_) * UP)
 
 
-def _overlap_bound(a: str, b: str):
-    """Suffix filter: with the sets cut into bands at fixed pivots, the overlap cannot exceed the sum of the smaller counts."""
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _alike(a: str, b: str):
+    """Suffix filter of two sets (na, nb): cut into bands at fixed pivots, they differ in a token at least wherever the bands' sizes differ in parity."""
+    apart = sum((F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    both = F.col("na") + F.col("nb")
+    return (both - apart) * (UP + DOWN) >= both * (2 * UP)
 
 
 def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame:
@@ -181,7 +185,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
     where the two are compared.
     """
     va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
-    alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_overlap_bound("fa", "fb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP)
+    alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_alike("fa", "fb"))
     alike = store.written(alike.select("sa", "sb", "a", "b").distinct(), f"{tag}-pairs")
     wanted = alike.select(F.col("sa").alias("sig"), F.col("a").alias("doc_id")).unionByName(alike.select(F.col("sb").alias("sig"), F.col("b").alias("doc_id"))).distinct()
 
@@ -265,7 +269,7 @@ def linked(docs: DataFrame) -> DataFrame:
     first_links = verified(pairs, vertices, docs, "star")
     links, tested, open_, before = first_links, pairs, None, None
     for turn in range(ROUNDS + 1):
-        known = _linked_so_far(vertices, links, "star-components").select("sig", "n", "root", "bands")
+        known = _linked_so_far(vertices, links, "star-components").select("sig", "n", "root")
         rows = (met.select("token", "sig", "n", "pos") if open_ is None else open_.select("token", "sig", "n", "pos")).join(known, ["sig", "n"])
         share = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("k"))
         across = (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2
@@ -281,10 +285,10 @@ def linked(docs: DataFrame) -> DataFrame:
         star = _pairs(_starred(open_, turn + 1, F.lit(0), "root").where("root <> root0")).join(tested, ["sa", "na", "sb", "nb"], "left_anti")
         star = store.written(star, "gram-star")
         links, tested = links.unionByName(verified(star, vertices, docs, "star")), tested.unionByName(star)
+    open_ = open_.join(vertices.select("sig", "n", "bands"), ["sig", "n"])
     one, two = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
     meets = (F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb")
-    alike = _overlap_bound("bandsa", "bandsb") * (UP + DOWN) >= (F.col("na") + F.col("nb")) * UP
-    rest = one.join(two, (one["token"] == two["token"]) & meets & alike)
+    rest = one.join(two, (one["token"] == two["token"]) & meets & _alike("bandsa", "bandsb"))
     rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
     links = links.unionByName(verified(rest, vertices, docs, "across"))
     named = _linked_so_far(vertices, links, "gram-components").select("sig", "n", "root")
