@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from loomstone.llm import chat, decontaminate, jaccard, licences, media, mixing, quality, sharding, suffixes, token_ids
+from loomstone.llm import chat, decontaminate, jaccard, licences, media, mixing, oracles, quality, sharding, suffixes, token_ids
 
 QUERIES = {
     "op1_licences": licences.op1_licences,
@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_ids": token_ids.op9_token_ids,
     "op10_suffixes": suffixes.op10_suffixes,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_jaccard": oracles.JACCARD, "op5_chat": oracles.CHAT, "op10_suffixes": oracles.SUFFIXES}
