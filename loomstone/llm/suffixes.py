@@ -218,7 +218,7 @@ KEYS = ["doc_id", "key"]
 
 
 def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, key, hashes: the anchors of each text that another text holds too, some to a row."""
+    """doc_id, key, hashes: the anchors of each text that another text holds too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,20 +262,43 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
                 lowest, highest = np.minimum.reduceat(k, begin), np.maximum.reduceat(k, begin)
                 s = np.repeat((size > 1) & (lowest != highest), size)
                 h, d, k = h[s], d[s], k[s]
-            if not len(h):
-                continue
-            order = np.lexsort((k, d))
-            h, d, k = h[order], d[order], k[order]
-            begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
-            raw, ends = h.tobytes(), np.append(begin[1:], len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(d[begin]), pa.array(k[begin]), pa.array([raw[8 * x : 8 * y] for x, y in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())], [*KEYS, "hashes"])
+            yield from _parted(buckets, d, k, h)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (d, k, h) in _gathered(batches, (np.int64, np.int64, U64)):
+            order, begin, ends = _by_text(d, k)
+            raw = h[order].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(d[order][begin]), pa.array(k[order][begin]), pa.array([raw[8 * x : 8 * y] for x, y in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())], [*KEYS, "hashes"])
 
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     rows = base.mapInArrow(emit, "bucket int, h binary, d binary, k binary")
-    n = store.partitions(base.sparkSession)
-    met = rows.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, key long, hashes binary")
-    local = rows.where("bucket < 0").mapInArrow(meet, "doc_id long, key long, hashes binary")
-    return met.unionByName(local)
+    return _per_text(rows, meet, "h", gather, "doc_id long, key long, hashes binary")
+
+
+def _parted(parts: int, d: np.ndarray, k: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Values of texts (d, k) packed into a row for each part of the texts, so that rows don't multiply with buckets."""
+    if not len(d):
+        return
+    order, cut = _cells(mix64(d.view(U64) ^ mix64(k.view(U64))), parts)
+    out = [(p, *_blobs(*(x[order[cut[p] : cut[p + 1]]] for x in (d, k, *more)))) for p in np.flatnonzero(np.diff(cut)).tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out, strict=True))], ["part", "d", "k", *"xy"[: len(more)]])
+
+
+def _by_text(d: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by text, first and last-plus-one place of each text in that order)."""
+    order = np.lexsort((k, d))
+    d, k = d[order], k[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
+    return order, begin, np.append(begin[1:], len(d))[: len(begin)]
+
+
+def _per_text(rows: DataFrame, meet, more: str, gather, schema: str) -> DataFrame:
+    """Rows by bucket, met in their buckets, then gathered to a row per text."""
+    n = store.partitions(rows.sparkSession)
+    packed = "part int, d binary, k binary" + "".join(f", {c} binary" for c in "xy"[: len(more)])
+    met = rows.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, packed)
+    local = rows.where("bucket < 0").mapInArrow(meet, packed)
+    return met.unionByName(local).repartition(n, "part").sortWithinPartitions("part").mapInArrow(gather, schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -302,7 +325,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple
 def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
     """doc_id, key, spans (int64 pairs start, end): stretches of the texts that smaller ids hold too.
 
-    candidates: doc_id, key, text, hashes (list of the text's shared anchors).
+    candidates: doc_id, key, text, hashes (the text's shared anchors).
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +339,7 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
                 cut = np.searchsorted(r.row, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
                     if cut[i] < cut[i + 1]:
-                        mine = np.frombuffer(b"".join(hashes[lo + i].as_py()), U64)
+                        mine = np.frombuffer(hashes[lo + i].as_py(), U64)
                         mask[cut[i] : cut[i + 1]] = np.isin(r.hash[cut[i] : cut[i + 1]], mine)
                 r.keep(mask)
                 if not len(r.p1):
@@ -353,7 +376,7 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (u, n, text, doc, key, lo, hi, seg) in _gathered(batches, (U64, np.int64, np.uint8, np.int64, np.int64, np.int64, np.int64, U64)):
             if b < 0:
-                yield _spans(doc, key, lo, hi)
+                yield from _parted(buckets, doc, key, lo, hi)
                 continue
             start = np.cumsum(n) - n
             u, one = np.unique(u, return_index=True)
@@ -365,7 +388,7 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
             np.minimum.at(owner, which, doc)
             hit = repeats(text, start, n, owner)
             whole = doc > owner[which]
-            spans = [_spans(doc[whole], key[whole], lo[whole], hi[whole])]
+            spans = [(doc[whole], key[whole], lo[whole], hi[whole])]
             # Runs of repeated windows of a segment, for the places of its owner.
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             a, z = edge[::2], edge[1::2]
@@ -378,27 +401,20 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
                 rep = np.repeat(np.arange(len(a)), count)
                 place = order[np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
                 at = lo[place] - start[of[rep]]
-                spans.append(_spans(doc[place], key[place], at + a[rep], at + z[rep] + SPAN - 1))
-            yield from spans
+                spans.append((doc[place], key[place], at + a[rep], at + z[rep] + SPAN - 1))
+            yield from _parted(buckets, *(np.concatenate(x) for x in zip(*spans, strict=True)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (d, k, lo, hi) in _gathered(batches, (np.int64,) * 4):
+            order, begin, ends = _by_text(d, k)
+            pairs = np.stack([lo[order], hi[order]], 1)
+            blobs = [merged(pairs[x:y]).tobytes() for x, y in zip(begin.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(d[order][begin]), pa.array(k[order][begin]), pa.array(blobs, pa.binary())], [*KEYS, "spans"])
 
     kinds = [pa.int32(), *[pa.binary()] * 8]
     names = ["bucket", "u", "n", "text", "doc", "k", "lo", "hi", "seg"]
     rows = candidates.mapInArrow(emit, "bucket int, u binary, n binary, text binary, doc binary, k binary, lo binary, hi binary, seg binary")
-    parts = store.partitions(candidates.sparkSession)
-    schema = "doc_id long, key long, spans binary"
-    met = rows.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, schema)
-    return met.unionByName(rows.where("bucket < 0").mapInArrow(meet, schema))
-
-
-def _spans(doc: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """A row per text with its spans, joined where they touch or overlap."""
-    order = np.lexsort((lo, key, doc))
-    doc, key, lo, hi = doc[order], key[order], lo[order], hi[order]
-    head = np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
-    begin = np.flatnonzero(head)
-    pairs = np.stack([lo, hi], 1).astype(np.int64).tobytes() if len(lo) else b""
-    ends = np.append(begin[1:], len(doc))[: len(begin)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(key[begin]), pa.array([pairs[16 * x : 16 * y] for x, y in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())], [*KEYS, "spans"])
+    return _per_text(rows, meet, "xy", gather, "doc_id long, key long, spans binary")
 
 
 def merged(pairs: np.ndarray) -> np.ndarray:
@@ -432,11 +448,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     copies = store.written(digest.join(lead, "sha").where("doc_id > lead").select("doc_id", "key").distinct(), "text-copies")
     parts = store.partitions(docs.sparkSession)
     anchors = shared_anchors(long, max(parts, int(total * 2 / (WINDOW + 1) / BUCKET_ANCHORS)))
-    wanted = anchors.groupBy(*KEYS).agg(F.collect_list("hashes").alias("hashes"))  # a text's own anchors
-    wanted = store.written(wanted, "text-anchors")
+    wanted = store.written(anchors, "text-anchors")
     found = repeated_runs(long.join(copies, KEYS, "left_anti").join(wanted, KEYS).select("doc_id", "key", "text", "hashes"), max(parts, int(total / BUCKET_BYTES)))
-    spans = found.groupBy(*KEYS).agg(F.collect_list("spans").alias("spans"))  # a text's own spans
-    spans = store.written(spans, "text-spans").unionByName(copies.select(*KEYS, F.lit(None).cast("array<binary>").alias("spans")))
+    spans = store.written(found, "text-spans").unionByName(copies.select(*KEYS, F.lit(None).cast("binary").alias("spans")))
     rows = base.withColumn("n", size).join(spans.withColumn("hit", F.lit(True)), KEYS, "left")
     clean = rows.where("hit is null").select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
@@ -444,9 +458,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             out = []
-            for i, (d, blobs) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+            for i, (d, blob) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
                 x = data[offs[i] : offs[i + 1]]
-                pairs = np.array([[0, len(x)]]) if blobs is None else merged(np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2))
+                pairs = np.array([[0, len(x)]]) if blob is None else np.frombuffer(blob, np.int64).reshape(-1, 2)
                 keep = hashlib.sha256()
                 at = 0
                 for a, b in pairs.tolist():
