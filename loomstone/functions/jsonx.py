@@ -183,3 +183,27 @@ def json_path(path: str):
 
 def _null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
+
+
+@F.pandas_udf(T.StringType())
+def balanced_object(text: pd.Series, start: pd.Series) -> pd.Series:
+    """The brace-balanced object that begins at a 0-based place of the text; NULL if none begins there or it never ends.
+
+    Braces inside double-quoted strings don't count, nor do escaped quotes end them.
+    """
+
+    def one(s, at):
+        if s is None or at is None or at != at or not 0 <= at < len(s) or s[int(at)] != "{":
+            return None
+        depth = 0
+        for m in _TOKEN.finditer(s, int(at)):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if depth == 0 and m[0] == "}":
+                return s[int(at) : m.end()]
+        return None
+
+    return pd.Series([one(s, at) for s, at in zip(text, start, strict=True)], dtype=object)
+
+
+#: A whole string, an open one up to the end, or a brace.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"(?s:.*)|[{}]', re.S)

@@ -216,3 +216,13 @@ def load(path: str) -> Plan:
         return Plan(yaml.safe_load(f))
 
 
+
+
+def with_companion(pages: DataFrame, responses: DataFrame, name: str, plan: Plan) -> DataFrame:
+    """pages with the body of the companion request of each page's handle in a column of that name; null where there is none.
+
+    responses: handle, status, body. A handle with several good responses counts once.
+    """
+    good = responses.where("status = 200").groupBy("handle").agg(F.min("body").alias(name))
+    keyed = pages.withColumn("_handle", X.present(F.regexp_extract("url", plan.handle or "(?!)()", 1)))
+    return keyed.join(good, keyed["_handle"] == good["handle"], "left").drop("_handle", "handle")

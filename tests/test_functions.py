@@ -148,3 +148,9 @@ def test_json_paths():
     assert J.walk(doc["a"], "$[?(@['t'] in ['Y','Z'])].k") == [{"k": 2}] and J.walk(doc["a"], "$[?(@.t=='X')].k") == [1]
     with pytest.raises(ValueError):
         J.steps("$.a[?x]")
+
+
+def test_balanced_object(spark):
+    cases = [('x{"a": {"b": "}\\"}"}} tail', 1, '{"a": {"b": "}\\"}"}}'), ("{{}", 0, None), ("{}", 1, None), ('{"open', 0, None), (None, 0, None), ("{'a': {}}", 0, "{'a': {}}")]
+    df = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(cases)], "i int, s string, p int")
+    assert [r[0] for r in df.select(J.balanced_object("s", "p"), "i").orderBy("i").collect()] == [e for _, _, e in cases]

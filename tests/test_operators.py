@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import html as H
 from loomstone.operators import crawl, quality
-from loomstone.plans.extraction import Plan
+from loomstone.plans.extraction import Plan, with_companion
 from loomstone.sources import io
 from loomstone.streaming import dedup
 
@@ -147,3 +147,11 @@ def test_config(spark):
 
 def test_html_select_null(spark):
     assert spark.createDataFrame([(None,), ("<a href=x>",)], "h string").select(H.html_select("h", "a::attr(href)").alias("v")).collect()[1]["v"] == ["x"]
+
+
+def test_companion(spark):
+    plan = Plan({"url_patterns": {"product": [r"^https://h/products/(?P<handle>[a-z]+)$"]}, "extraction": {}})
+    pages = spark.createDataFrame([("https://h/products/a",), ("https://h/products/b",), ("https://h/x",)], "url string")
+    bodies = spark.createDataFrame([("a", 200, "A"), ("a", 200, "A"), ("b", 404, "B")], "handle string, status int, body string")
+    got = {r["url"]: r["product_json"] for r in with_companion(pages, bodies, "product_json", plan).collect()}
+    assert got == {"https://h/products/a": "A", "https://h/products/b": None, "https://h/x": None}
