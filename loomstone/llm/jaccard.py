@@ -42,6 +42,8 @@ HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
 UP, DOWN = 4, 5
 KEY_BYTES = 6
+#: Distinct sets for each task of the steps that hold far fewer rows than tokens.
+TASK_SETS = 20_000
 
 
 def _gram_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame
     return vertices.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
 
 
-def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, tasks: int) -> DataFrame:
     """The pairs (sa, na, sb, nb) that link, as a and b (each vertex's smallest doc_id).
 
     The suffix filter comes first. The full sets of the vertices left are taken
@@ -186,7 +188,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
     """
     va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
     alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_alike("fa", "fb"))
-    alike = store.written(alike.select("sa", "sb", "a", "b").distinct(), f"{tag}-pairs")
+    alike = store.written(alike.select("sa", "sb", "a", "b").distinct().coalesce(tasks), f"{tag}-pairs")
     wanted = alike.select(F.col("sa").alias("sig"), F.col("a").alias("doc_id")).unionByName(alike.select(F.col("sb").alias("sig"), F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +202,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
                 yield pa.RecordBatch.from_arrays([pa.array(sig[lo:hi][own]), pa.array(blob, pa.binary())], ["sig", "grams"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "sig", "text")
-    full = store.written(texts.mapInArrow(sets, "sig long, grams binary").dropDuplicates(["sig"]), f"{tag}-sets")
+    full = store.written(texts.mapInArrow(sets, "sig long, grams binary").dropDuplicates(["sig"]).coalesce(tasks), f"{tag}-sets")
     asked = alike.join(full.withColumnRenamed("sig", "sb"), "sb").select("sa", "sb", "a", "b", "grams")
     none = F.lit(None).cast("long")
     rows = full.select(F.col("sig").alias("sa"), none.alias("sb"), none.alias("a"), none.alias("b"), "grams").join(alike.select("sa"), "sa", "left_semi").unionByName(asked)
@@ -230,7 +232,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str) -
                     got.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
-    return store.written(rows.repartition(n, "sa").sortWithinPartitions("sa", F.col("sb").asc_nulls_first()).mapInArrow(compare, "a long, b long"), f"{tag}-links")
+    return store.written(rows.repartition(n, "sa").sortWithinPartitions("sa", F.col("sb").asc_nulls_first()).coalesce(tasks).mapInArrow(compare, "a long, b long"), f"{tag}-links")
 
 
 def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
@@ -260,13 +262,14 @@ def linked(docs: DataFrame) -> DataFrame:
     members = surveyed.where("kind = 0").select("doc_id", "n", "sig", "bands")
     vertices = members.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("vid"), F.first("bands").alias("bands"))
     vertices = store.written(vertices, "gram-vertices")
+    tasks = max(2, -(-vertices.count() // TASK_SETS))
     # Rows of a very frequent token are dealt to HOT_WAYS tasks; what doesn't meet there meets in later rounds.
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
     stars = _starred(prefixes(docs, classes(surveyed)), 0, F.when(hot, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0))
     met = stars.where((F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | hot))
     met = store.written(met.select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
-    pairs = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))), "gram-star")
-    first_links = verified(pairs, vertices, docs, "star")
+    pairs = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))).coalesce(tasks), "gram-star")
+    first_links = verified(pairs, vertices, docs, "star", tasks)
     links, tested, open_, before = first_links, pairs, None, None
     for turn in range(ROUNDS + 1):
         known = _linked_so_far(vertices, links, "star-components").select("sig", "n", "root")
@@ -276,21 +279,21 @@ def linked(docs: DataFrame) -> DataFrame:
         share = share.groupBy("token").agg(across.alias("across"), F.sum("k").alias("k"))
         # Two sets under a token have met already, unless the token was dealt out.
         share = share.where((F.col("across") > 0) & ((F.col("k") > 2) | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))).select("token", "across")
-        open_ = store.written(rows.join(share, "token"), "gram-open")
+        open_ = store.written(rows.join(share, "token").coalesce(tasks), "gram-open")
         size = open_.groupBy("token").agg(F.first("across").alias("x"), F.count("*").alias("n")).agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
         ways = size["x"] or 0.0
         if turn == ROUNDS or ways <= FEW * (size["n"] or 0) or (before is not None and ways > 0.9 * before):
             break
         before = ways
         star = _pairs(_starred(open_, turn + 1, F.lit(0), "root").where("root <> root0")).join(tested, ["sa", "na", "sb", "nb"], "left_anti")
-        star = store.written(star, "gram-star")
-        links, tested = links.unionByName(verified(star, vertices, docs, "star")), tested.unionByName(star)
+        star = store.written(star.coalesce(tasks), "gram-star")
+        links, tested = links.unionByName(verified(star, vertices, docs, "star", tasks)), tested.unionByName(star)
     open_ = open_.join(vertices.select("sig", "n", "bands"), ["sig", "n"])
     one, two = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
     meets = (F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb")
     rest = one.join(two, (one["token"] == two["token"]) & meets & _alike("bandsa", "bandsb"))
     rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
-    links = links.unionByName(verified(rest, vertices, docs, "across"))
+    links = links.unionByName(verified(rest, vertices, docs, "across", tasks))
     named = _linked_so_far(vertices, links, "gram-components").select("sig", "n", "root")
     out = members.select("doc_id", "n", "sig").join(named, ["sig", "n"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))

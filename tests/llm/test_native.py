@@ -104,6 +104,8 @@ def test_remix_keeps_columns(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (102, 100), (100, 102)]
-    got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["id"]: r["root"] for r in graph.components(df).collect()}
+    assert got == {r["id"]: r["root"] for r in graph.components(df, one_task=0).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
