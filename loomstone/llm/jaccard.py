@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import graph, store
 from loomstone.llm.kernels import U64, Words, buffers, mix64, shingles, slices
+from loomstone.llm.sieve import sifted
 
 SKETCH = 1 << 20
 PART = 1 << 14
@@ -42,8 +43,6 @@ HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
 UP, DOWN = 4, 5
 KEY_BYTES = 6
-#: Cells of the filter by ids, 2 MB in all, and of one of its rows.
-SIEVE, SIEVE_ROW = 1 << 24, 1 << 14
 #: Distinct sets for each task of the steps that hold far fewer rows than tokens.
 TASK_SETS = 20_000
 
@@ -181,33 +180,6 @@ def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame
     return vertices.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
 
 
-def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the rows whose doc_id may be among the ids: none is lost, few others stay.
-
-    A bit for each cell of the ids' hashes, SIEVE bits whatever their number, is
-    sent to all tasks, so the texts of other rows aren't shuffled.
-    """
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, np.ndarray] = {}
-        for batch in batches:
-            cell = batch.column(0).to_numpy()
-            for r in np.unique(cell // SIEVE_ROW).tolist():
-                low = cell[cell // SIEVE_ROW == r] % SIEVE_ROW
-                np.bitwise_or.at(rows.setdefault(r, np.zeros(SIEVE_ROW // 8, np.uint8)), low >> 3, (1 << (low & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], ["row", "bits"])
-
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
-    cells = ids.select(cell.alias("cell")).distinct()
-    n = min(store.partitions(docs.sparkSession), SIEVE // SIEVE_ROW)
-    sieve = cells.repartition(n, F.floor(F.col("cell") / SIEVE_ROW)).mapInArrow(build, "row long, bits binary")
-    sieve = store.written(sieve.coalesce(4), "sieve")
-    low = F.col("cell") % SIEVE_ROW
-    byte = F.conv(F.hex(F.substr("bits", (F.floor(low / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rows = docs.select("doc_id", "text").withColumn("cell", cell).withColumn("row", F.floor(F.col("cell") / SIEVE_ROW))
-    return rows.join(F.broadcast(sieve), "row").where(F.getbit(byte, (low % 8).cast("int")) == 1).select("doc_id", "text")  # SIEVE bits
-
-
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, tasks: int) -> DataFrame:
     """The pairs (sa, na, sb, nb) that link, as a and b (each vertex's smallest doc_id).
 
@@ -230,7 +202,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, t
                 blob = [h[first[i] : first[i + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[lo:hi][own]), pa.array(blob, pa.binary())], ["sig", "grams"])
 
-    texts = sifted(docs, wanted).join(wanted, "doc_id").select("doc_id", "sig", "text")
+    texts = sifted(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("doc_id", "sig", "text")
     full = store.written(texts.mapInArrow(sets, "sig long, grams binary").dropDuplicates(["sig"]).coalesce(tasks), f"{tag}-sets")
     asked = alike.join(full.withColumnRenamed("sig", "sb"), "sb").select("sa", "sb", "a", "b", "grams")
     none = F.lit(None).cast("long")

@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that a document of smaller id holds too.
 
-Strings meet by content. Of the 35 16-grams of each 50-byte window the one of
+Strings meet by content. Of the 31 20-grams of each 50-byte window the one of
 smallest hash is the window's anchor, so equal windows have equal anchors, and a
 run of windows with one anchor is a segment. Anchors that two documents hold
 are found by hash (only they can matter); the segments of those anchors are
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import store
 from loomstone.llm.kernels import BYTE_HASH, SLICE_BYTES, U64, buffers, mix64, powers, prefix_hash, range_hash, slices
+from loomstone.llm.sieve import sifted
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 20
 WINDOW = SPAN - GRAM + 1
 #: Anchors of a bucket, and segment bytes of a bucket, about.
 BUCKET_ANCHORS, BUCKET_BYTES = 800_000, 1_500_000
@@ -451,8 +452,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     wanted = store.written(anchors, "text-anchors")
     found = repeated_runs(long.join(copies, KEYS, "left_anti").join(wanted, KEYS).select("doc_id", "key", "text", "hashes"), max(parts, int(total / BUCKET_BYTES)))
     spans = store.written(found, "text-spans").unionByName(copies.select(*KEYS, F.lit(None).cast("binary").alias("spans")))
-    rows = base.withColumn("n", size).join(spans.withColumn("hit", F.lit(True)), KEYS, "left")
-    clean = rows.where("hit is null").select("doc_id", F.col("n").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    whole = base.select("doc_id", "key", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    clean = whole.join(spans, KEYS, "left_anti").drop("key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,7 +472,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], [x.split()[0] for x in DONE.split(", ")])
 
-    return clean.unionByName(rows.where("hit").select("doc_id", "text", "spans").mapInArrow(cut, DONE))
+    hit = sifted(base, spans).join(spans, KEYS).select("doc_id", "text", "spans")
+    return clean.unionByName(hit.mapInArrow(cut, DONE))
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
