@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as label 1; it is fitted on the labelled ones among them."""
     model = quality.train(docs, store.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, keep=True).where("_score >= 0.5").drop("_score")
+    return quality.good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

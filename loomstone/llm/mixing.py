@@ -122,15 +122,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
 
 def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs itself in mixed amounts: a row once for each epoch in which its stream reaches it, all columns kept."""
-    rows, sources = streams(docs, weights)
+    rows, sources = streams(docs.select("doc_id", "text", "source", F.struct("*").alias("_doc")), weights)
     spark = docs.sparkSession
     if not sources:
-        return rows.select(*docs.columns)
+        return rows.select("_doc.*")
     info = spark.createDataFrame([(s.name, s.size, s.taken, s.start) for s in sources], "_name string, _all long, _goal long, _start long")
     rows = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["_name"]))  # a row per source
     at = F.col("_end") - F.col("size") - F.col("_start")
     times = sum((F.when((at + F.lit(e) * F.col("_all") < F.col("_goal")) & (F.col("size") > 0), 1).otherwise(0) for e in range(MAX_EPOCHS)), F.lit(0))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col("_epoch") <= times).select(*docs.columns)
+    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col("_epoch") <= times).select("_doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

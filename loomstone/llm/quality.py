@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with keep, all columns and the score.
+    """doc_id and score of every row; with keep, all columns and last the score, under a name that is free.
 
     Null and empty texts get the score of a text without features. Repeated
     rows get equal scores. Columns of any other name pass through.
@@ -194,7 +194,9 @@ def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     live = np.flatnonzero(model.weight)
     sent = spark.sparkContext.broadcast((live, model.weight[live], model.bias, model.slope, model.offset))  # at most DIM weights
     rows = docs if keep else docs.select("doc_id", "text")
-    out = "_score" if keep else "score"
+    out = "score"
+    while keep and out in docs.columns:
+        out += "_"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, *rest = sent.value
@@ -213,6 +215,12 @@ def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     return rows.mapInArrow(score, f"{fields}, {out} double")
 
 
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, without the rows that the model predicts as label 0."""
+    rows = scored(docs, model, keep=True)
+    return rows.where(F.col(f"`{rows.columns[-1]}`") >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents")
     out = scored(docs, train(docs, store.table(spark, sf_dir, "labels")))

@@ -97,8 +97,8 @@ def test_schedule_spreads_sources(spark):
 
 def test_remix_keeps_columns(spark):
     rows = [(i, "a b c", "s") for i in range(5)] + [(9, "d", "t")]
-    got = mixing.remixed(frame(spark, rows).withColumn("extra", F.lit(1)))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+    got = mixing.remixed(frame(spark, rows).withColumn("size", F.lit(1)).withColumn("pos", F.lit(2)))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "pos"] and {(r["size"], r["pos"]) for r in got.collect()} == {(1, 2)}
     assert {r["doc_id"] for r in got.collect()} <= {i for i, _, _ in rows}
 
 

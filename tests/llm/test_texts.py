@@ -204,7 +204,10 @@ def test_quality(spark):
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 300 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert len(held) > 50 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 3 > 0) for r in held]) > 0.95
     kept = quality.scored(docs, model, keep=True)
-    assert kept.columns == [*docs.columns, "_score"] and kept.count() == len(rows)
+    assert kept.columns == [*docs.columns, "score"] and kept.count() == len(rows)
+    named = docs.withColumn("score", F.lit(7.0))
+    few = quality.good(named, model)
+    assert few.columns == named.columns and {r["score"] for r in few.collect()} == {7.0} and few.count() == sum(r["score"] >= 0.5 for r in got)
     none = quality.train(docs, labels.limit(0))
     assert {r["score"] for r in quality.scored(docs, none).collect()} == {0.5}
     assert quality.scored(docs.limit(0), none).count() == 0
