@@ -28,7 +28,7 @@ EDITS = 0.1
 LEAST = 48
 #: The benchmark is searched in blocks of at most so many bytes, which bounds what is sent to the executors.
 BLOCK_BYTES = 8 << 20
-SLICE = 2 << 20
+SLICE = 1 << 19
 FILTER_BITS = 22
 
 _NORM = np.arange(256, dtype=np.uint8)

@@ -2,7 +2,7 @@
 
 A column is one byte buffer with row offsets. Words, hashes and shingles of
 thousands of rows are found with a few numpy passes over that buffer, so no
-Python object is made for a word. Rows are handled in slices of a few MB, which
+Python object is made for a word. Rows are handled in slices of about a MB, which
 bounds the memory; one row longer than a slice is a slice of its own.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 U64 = np.uint64

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import store
-from loomstone.llm.kernels import BYTE_HASH, SLICE_BYTES, U64, buffers, mix64, powers, prefix_hash, range_hash, slices
+from loomstone.llm.kernels import BYTE_HASH, U64, buffers, mix64, powers, prefix_hash, range_hash, slices
 from loomstone.llm.sieve import sifted
 
 SPAN, GRAM = 50, 20
@@ -34,6 +34,8 @@ WINDOW = SPAN - GRAM + 1
 #: Anchors of a bucket, and segment bytes of a bucket, about.
 BUCKET_ANCHORS, BUCKET_BYTES = 800_000, 1_500_000
 DEPTH, SYMBOLS = 8, 7
+#: Text bytes handled at once; equal anchors and segments inside are settled there.
+SLICE = 2 << 20
 
 
 # --- suffix array ---------------------------------------------------------
@@ -225,7 +227,7 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in KEYS)
-            for lo, hi in slices(offs, SLICE_BYTES // 2):
+            for lo, hi in slices(offs, SLICE):
                 r = Runs(data, offs[lo : hi + 1])
                 own = np.lexsort((ids[lo:hi], keys[lo:hi]))  # of equal texts the smallest id speaks
                 k = keys[lo:hi][own]
@@ -334,7 +336,7 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
             data, offs = buffers(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in KEYS)
             hashes = batch.column("hashes")
-            for lo, hi in slices(offs, SLICE_BYTES // 2):
+            for lo, hi in slices(offs, SLICE):
                 r = Runs(data, offs[lo : hi + 1])
                 mask = np.zeros(len(r.p1), bool)
                 cut = np.searchsorted(r.row, np.arange(hi - lo + 1))

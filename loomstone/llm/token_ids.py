@@ -42,7 +42,7 @@ BLOCK = 512
 #: Ids in a shard, about; a shard ends with the document that reaches it.
 SHARD_IDS = 16 << 20
 SEPARATOR = "<|startoftext|>"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 # --- minimal perfect hash -------------------------------------------------
@@ -300,7 +300,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
         for batch in batches:
             _, offs = buffers(batch.column("t"))
-            for lo, hi in slices(offs, min(8 << 20, 4 * shard_ids)):
+            for lo, hi in slices(offs, min(4 << 20, 4 * shard_ids)):
                 col = batch.column("t").slice(lo, hi - lo)
                 ids, n = coder.encode(col, end)
                 if out is None:

@@ -110,8 +110,8 @@ def removed_by_force(rows):
 
 
 def test_suffixes(spark, monkeypatch):
-    for seed, slice_bytes in ((0, 4 << 20), (1, 3000)):
-        monkeypatch.setattr(suffixes, "SLICE_BYTES", slice_bytes)
+    for seed, slice_bytes in ((0, 2 << 20), (1, 3000)):
+        monkeypatch.setattr(suffixes, "SLICE", slice_bytes)
         rows = corpus(seed)
         got = suffixes.deduplicated(frame(spark, rows)).collect()
         assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == removed_by_force(rows)
