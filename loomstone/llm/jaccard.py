@@ -43,6 +43,8 @@ HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
 UP, DOWN = 4, 5
 KEY_BYTES = 6
+#: Rows of a few numbers each (8 MB) up to which a table is broadcast.
+FEW_ROWS = 200_000
 #: Distinct sets for each task of the steps that hold far fewer rows than tokens.
 TASK_SETS = 20_000
 
@@ -174,6 +176,11 @@ def _alike(a: str, b: str):
     return (both - apart) * (UP + DOWN) >= both * (2 * UP)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most FEW_ROWS rows; else as it is, to be joined by shuffles."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """vertices with root, the smallest vid of their component."""
     roots = graph.components(links, tag).withColumnRenamed("id", "vid")
@@ -188,6 +195,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, t
     where the two are compared.
     """
     va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
+    pairs = small(pairs)
     alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_alike("fa", "fb"))
     alike = store.written(alike.select("sa", "sb", "a", "b").distinct().coalesce(tasks), f"{tag}-pairs")
     wanted = alike.select(F.col("sa").alias("sig"), F.col("a").alias("doc_id")).unionByName(alike.select(F.col("sb").alias("sig"), F.col("b").alias("doc_id"))).distinct()
@@ -273,8 +281,12 @@ def linked(docs: DataFrame) -> DataFrame:
     first_links = verified(pairs, vertices, docs, "star", tasks)
     links, tested, open_, before = first_links, pairs, None, None
     for turn in range(ROUNDS + 1):
-        known = _linked_so_far(vertices, links, "star-components").select("sig", "n", "root")
-        rows = (met.select("token", "sig", "n", "pos") if open_ is None else open_.select("token", "sig", "n", "pos")).join(known, ["sig", "n"])
+        # A set's label: a hash of its component's root, or its own signature while it has no link.
+        known = graph.components(links, "star-components")
+        known = known.unionByName(known.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "vid")
+        known = store.written(vertices.select("sig", "n", "vid").join(small(store.written(known, "star-roots")), "vid").select("sig", "n", F.xxhash64("root").alias("label")), "star-labels")
+        rows = (met if open_ is None else open_).select("token", "sig", "n", "pos").join(small(known), ["sig", "n"], "left")
+        rows = rows.withColumn("root", F.coalesce("label", "sig")).drop("label")
         share = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("k"))
         across = (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2
         share = share.groupBy("token").agg(across.alias("across"), F.sum("k").alias("k"))
@@ -294,6 +306,7 @@ def linked(docs: DataFrame) -> DataFrame:
     meets = (F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb")
     rest = one.join(two, (one["token"] == two["token"]) & meets & _alike("bandsa", "bandsb"))
     rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
+    rest = store.written(rest.coalesce(tasks), "gram-rest")
     links = links.unionByName(verified(rest, vertices, docs, "across", tasks))
     named = _linked_so_far(vertices, links, "gram-components").select("sig", "n", "root")
     out = members.select("doc_id", "n", "sig").join(named, ["sig", "n"], "left")
