@@ -242,28 +242,30 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
                 head = np.ones(len(h), bool)
                 head[1:] = h[1:] != h[:-1]
                 begin = np.flatnonzero(head)
-                many = np.repeat(np.diff(np.append(begin, len(h))) > 1, np.diff(np.append(begin, len(h))))
-                # An anchor of several rows here is shared for certain; its first row alone goes on to meet other slices.
-                out = [(-1, *_blobs(h[many], ids[lo:hi][row[many]], keys[lo:hi][row[many]]))] if many.any() else []
-                h, row = h[head], row[head]
+                size = np.diff(np.append(begin, len(h)))
+                many = np.repeat(size > 1, size)
+                # An anchor of several rows here is shared for certain; its first row alone goes on to meet other slices,
+                # with word of the others: a slice that holds but a copy of that row must learn of them.
+                out = [(-1, *_blobs(h[many], ids[lo:hi][row[many]], keys[lo:hi][row[many]]), b"")] if many.any() else []
+                h, row, more = h[head], row[head], (size > 1).astype(np.uint8)
                 by, cut = _cells(h, buckets)
                 for b in range(buckets):
                     s = by[cut[b] : cut[b + 1]]
                     if len(s):
                         s = s[np.argsort(row[s], kind="stable")]
-                        out.append((b, *_blobs(h[s], ids[lo:hi][row[s]], keys[lo:hi][row[s]])))
+                        out.append((b, *_blobs(h[s], ids[lo:hi][row[s]], keys[lo:hi][row[s]], more[s])))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "h", "d", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "h", "d", "k", "more"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (h, d, k) in _gathered(batches, (U64, np.int64, np.int64)):
+        for b, (h, d, k, more) in _gathered(batches, (U64, np.int64, np.int64, np.uint8)):
             if b >= 0:
                 order = np.argsort(h, kind="stable")
-                h, d, k = h[order], d[order], k[order]
+                h, d, k, more = h[order], d[order], k[order], more[order]
                 begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
                 size = np.diff(np.append(begin, len(h)))
                 lowest, highest = np.minimum.reduceat(k, begin), np.maximum.reduceat(k, begin)
-                s = np.repeat((size > 1) & (lowest != highest), size)
+                s = np.repeat((size > 1) & ((lowest != highest) | (np.maximum.reduceat(more, begin) > 0)), size)
                 h, d, k = h[s], d[s], k[s]
             yield from _parted(buckets, d, k, h)
 
@@ -273,8 +275,8 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
             raw = h[order].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(d[order][begin]), pa.array(k[order][begin]), pa.array([raw[8 * x : 8 * y] for x, y in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())], [*KEYS, "hashes"])
 
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    rows = base.mapInArrow(emit, "bucket int, h binary, d binary, k binary")
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    rows = base.mapInArrow(emit, "bucket int, h binary, d binary, k binary, more binary")
     return _per_text(rows, meet, "h", gather, "doc_id long, key long, hashes binary")
 
 

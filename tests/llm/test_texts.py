@@ -118,6 +118,17 @@ def test_suffixes(spark, monkeypatch):
     assert suffixes.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_suffixes_copy_ahead_of_sharer(spark, monkeypatch):
+    """A text in one slice; its exact copy, and a text of larger id that shares a passage with both, in another."""
+    monkeypatch.setattr(suffixes, "SLICE", 3000)
+    rnd = random.Random(4)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    lead = prose(400)
+    rows = [(1, lead), (2, prose(2800)), (3, lead), (4, prose(200) + lead[100:300] + prose(200))]
+    got = suffixes.deduplicated(frame(spark, rows).coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == removed_by_force(rows)
+
+
 @pytest.mark.parametrize("top", [1, 2, 3, 255])
 def test_suffix_array(top):
     rng = np.random.default_rng(top)
