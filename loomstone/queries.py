@@ -488,12 +488,11 @@ def stream_dedup(spark, d):
 
     base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomstone-shared").rstrip("/")
     path = f"{base}/stream-{uuid.uuid4().hex}"
-    first = t(spark, d, "events").select("event_id", "event_type").where("event_type is not null")
-    first = first.groupBy("event_type").agg(F.min("event_id").alias("event_id"))
-    first.unionByName(first.select("event_type", "event_id")).write.parquet(f"{path}/in")  # each key twice
-    stream = spark.readStream.schema("event_type string, event_id long").parquet(f"{path}/in")
+    # A stream of a path that is one file needs it as a pattern.
+    stream = spark.readStream.schema("event_type string, event_id long").parquet(f"{d}/events.parque[t]")
     dedup.run_once(dedup.first_seen(stream, F.col("event_type"), "event_id"), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").select("event_type", F.col("event_id").alias("first_id"))
+    kept = spark.read.schema("event_type string, event_id long").parquet(f"{path}/out")
+    return kept.where("event_type is not null").select("event_type", F.col("event_id").alias("first_id"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -109,6 +109,39 @@ def test_stream_dedup(spark, tmp_path):
     assert len(got) == 3 and sum(r["k"] is None for r in got) == 2
 
 
+def test_stream_dedup_first_wins(spark, tmp_path):
+    """In a batch the smallest id of a key wins, whatever the order of rows and files; a later batch changes nothing."""
+    def add(rows):
+        spark.createDataFrame(rows, "k string, id long").repartition(4).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, id long").parquet(str(tmp_path / "in"))
+        dedup.run_once(dedup.first_seen(stream, F.col("k"), "id"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        return sorted((r["k"] or "", r["id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = [("", 7), ("", 3000), *((f"k{n}", 10 + n) for n in range(5))]
+    assert add([(None, 7), (None, 3000), *((f"k{i % 5}", i) for i in range(2009, 9, -1))]) == sorted(first)
+    assert add([("k0", 1), ("new", 2), (None, 4)]) == sorted([*first, ("new", 2), ("", 4)])
+
+
+def test_stream_dedup_query_streams_all(spark, tmp_path, monkeypatch):
+    """The registered query streams every row of events and keeps those without a type."""
+    from loomstone import queries
+
+    rows = [(i, None if i % 7 == 0 else f"t{i % 3}") for i in range(500, 0, -1)]
+    spark.createDataFrame(rows, "event_id long, event_type string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    run, seen = dedup.run_once, {}
+
+    def watched(stream, path, checkpoint):
+        q = run(stream, path, checkpoint)
+        seen.update(rows=sum(p["numInputRows"] for p in q.recentProgress), path=path)
+        return q
+
+    monkeypatch.setattr(dedup, "run_once", watched)
+    got = sorted(map(tuple, queries.stream_dedup(spark, str(tmp_path)).collect()))
+    assert got == [(f"t{n}", min(i for i, k in rows if k == f"t{n}")) for n in range(3)]
+    assert seen["rows"] == len(rows)
+    assert spark.read.parquet(seen["path"]).where("event_type is null").count() == sum(k is None for _, k in rows)
+
+
 def test_config(spark):
     config = {
         "url_patterns": {"product": [r"^https://h/products/(?P<handle>[a-z0-9-]+)$"]},
