@@ -406,6 +406,16 @@ def frontier_reach(spark, d):
     return crawl.reach(edges, o.agg(F.min("o_orderkey").alias("node")))
 
 
+@query("""with recursive e as (select distinct 'o' || l_orderkey as o, 'p' || l_partkey as p from lineitem where l_orderkey is not null and l_partkey is not null), b as (select o as src, p as dst from e union all select p, o from e), r(node, depth) using key (node) as (select 'o' || min(o_orderkey), 0 from orders union select b.dst, min(r.depth) + 1 from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where k.node is null group by 1) select node, depth::int as depth from r""")
+def frontier_reach_all(spark, d):
+    """All that the first order leads to where every order links to its parts and every part to its orders."""
+    o, p = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")
+    line = t(spark, d, "lineitem")
+    edges = line.select(o.alias("src"), p.alias("dst")).unionByName(line.select(p.alias("src"), o.alias("dst")))
+    first = t(spark, d, "orders").agg(F.concat(F.lit("o"), F.min("o_orderkey")).alias("node"))
+    return crawl.reach(edges.where("src is not null and dst is not null"), first)
+
+
 def _shop_pages(spark, d):
     p, k = t(spark, d, "part"), F.col("p_partkey")
     pod = F.concat(F.lit('<article class="product_pod"><img src="t/'), k, F.lit('.jpg"><h3><a href="../item/'), k, F.lit('.html" title="'), F.when(k % 4 != 3, F.col("p_name")).otherwise(""), F.lit('">'), F.substring("p_name", 1, 4), F.lit("</a></h3>"), F.when(k % 5 != 0, F.concat(F.lit('<p class="price_color">£'), "p_retailprice", F.lit("</p>"))).otherwise(""), F.lit('<p class="instock availability"><i></i>\n In stock \n</p></article>'))

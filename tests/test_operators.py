@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,29 @@ def test_reach_with_cycle(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def test_reach_query_takes_all_orders(spark, tmp_path):
+    """The traversal over whole tables against a search by brute force: cycles, keys far apart, nulls, parts that nothing leads to."""
+    from loomstone import queries
+
+    rnd = random.Random(5)
+    keys = [rnd.randrange(10**6) for _ in range(300)]
+    lines = [(k, rnd.randrange(200)) for k in keys for _ in range(2)] + [(keys[0], None), (None, 3), (keys[1], keys[1]), (5_000_000, 999), (5_000_001, 999)]
+    spark.createDataFrame([(k,) for k in [*keys, 5_000_000, None]], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near = {}
+    for o, p in lines:
+        if o is not None and p is not None:
+            near.setdefault(f"o{o}", set()).add(f"p{p}")
+            near.setdefault(f"p{p}", set()).add(f"o{o}")
+    want, todo = {f"o{min(keys)}": 0}, [f"o{min(keys)}"]
+    for n in todo:
+        for m in near[n] - set(want):
+            want[m] = want[n] + 1
+            todo.append(m)
+    got = queries.QUERIES["frontier_reach_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want and max(want.values()) > 3
+
+
 def test_chain(spark):
     pages = spark.createDataFrame([("http://h/", "<ul><li class=next><a href='p2.html'>n</a></ul>"), ("http://h/p2.html", "<li class='next x'><a href='/p3.html'>n</a>"), ("http://h/p3.html", "<p>end"), ("http://h/other", None)], "url string, html string")
     assert {r["url"]: r["depth"] for r in crawl.chain(pages, "http://h/").collect()} == {"http://h/": 0, "http://h/p2.html": 1, "http://h/p3.html": 2}
