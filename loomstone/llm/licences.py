@@ -98,6 +98,8 @@ _COPYRIGHT = re.compile(r"(?:copyright|c)(?: c)? \d{4}\b.*|copyright c .*")
 _END = re.compile(r"[.!?;:](?=\s|$)|\n[ \t\r]*\n")
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _KNOWN = {v: k for k, v in SENTENCES.items()}
+#: What known sentences start with, word by word.
+_STARTS = {" ".join(v.split()[:n]) for v in SENTENCES.values() for n in range(1, len(v.split()) + 1)}
 _BULLET = re.compile(r"^(?:\d+|[a-z]|[ivx]+) (?=\w)")
 
 
@@ -135,28 +137,56 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def _run(lines: list[tuple[int, int, str]], at: int) -> tuple[str, int] | None:
+    """(identifier, end) of the longest known sentence that the words of lines[at], lines[at + 1] and so on make."""
+    got = None
+    for n in dict.fromkeys((lines[at][2], _BULLET.sub("", lines[at][2]))):
+        j = at
+        while n in _STARTS:
+            if n in _KNOWN and (got is None or lines[j][1] > got[1]):
+                got = _KNOWN[n], lines[j][1]
+            j += 1
+            if j == len(lines):
+                break
+            n = f"{n} {lines[j][2]}".rstrip()
+    return got
+
+
 def identified(text: str) -> list[tuple[int, int, int, str | None]]:
     """(number, start, end, identifier) of each sentence; an unknown one is read line by line, as a line may stand alone.
 
-    A tag has the colon of a sentence end inside, so a line that holds one is read whole.
+    A known sentence may have a sentence end inside ("free software; you can"),
+    so from each line of an unknown one on, following lines are joined as long as
+    they go on in a known sentence. A tag has the colon of a sentence end inside,
+    so a line that holds one is read whole.
     """
-    out, k = [], 0
+    out, k, done = [], 0, 0
     tags = {m.start(): m for m in _SPDX.finditer(text)}
-    for a, b in sentences(text):
-        got = identify(text[a:b])
-        if got:
+    lines, first, bounds = [], [], list(sentences(text))
+    for a, b in bounds:
+        first.append(len(lines))
+        for line in text[a:b].splitlines(keepends=True):
+            lines.append((a, a + len(line), normal(line)))
+            a += len(line)
+    first.append(len(lines))
+    for i, (a, b) in enumerate(bounds):
+        joined = done > a  # to the sentence before
+        many = first[i + 1] - first[i] > 1
+        got = None if joined else identify(text[a:b])
+        if got and not (many and got == "copyright"):  # whose lines may go on in a header
             out.append((k, a, b, got))
-        elif "\n" in text[a:b]:
-            at, any_ = a, False
-            for line in text[a:b].splitlines(keepends=True):
-                got = identify(line)
-                if got:
-                    out.append((k, at, at + len(line), got))
-                    any_ = True
-                    k += 1
-                at += len(line)
-            k -= any_
-        k += 1
+            k += 1
+        else:
+            found = 0
+            for j in range(first[i], first[i + 1]):
+                at, end, words = lines[j]
+                if at < done or not words:
+                    continue
+                name, end = _run(lines, j) or (identify(text[at:end]) if many else None, end)
+                if name:
+                    out.append((k + found, at, end, name))
+                    found, done = found + 1, end
+            k += found if joined else max(1, found)
         for s in [s for s in tags if a <= s < b]:
             m = tags.pop(s)
             out.append((k, m.start(), m.end(), f"tag:{m[1]}"))

@@ -192,6 +192,48 @@ def test_licences(spark):
     assert {s for _, _, rule in licences.RULES for s in rule} <= set(licences.SENTENCES)
 
 
+AS_PUBLISHED = {
+    "mit.grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n',
+    "mit.notice": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n",
+    "mit.asis": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. ',
+    "mit.liability": "IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n",
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n",
+    "isc.asis": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. ',
+    "isc.liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR\nANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES\nWHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION\nOF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN\nCONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.\n",
+    "bsd.redistribute": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n",
+    "bsd.source": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n",
+    "bsd.binary": "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n",
+    "bsd.endorse": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n",
+    "bsd.asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. ',
+    "apache.licensed": 'Licensed under the Apache License, Version 2.0 (the "License");\n',
+    "apache.comply": "you may not use this file except in compliance with the License.\n",
+    "apache.copy": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n",
+    "apache.unless": 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n',
+    "apache.see": "See the License for the specific language governing permissions and\nlimitations under the License.\n",
+    "gpl.free2": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\n",
+    "gpl.free3": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\n",
+    "gpl.hope": "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  ",
+    "gpl.see": "See the\nGNU General Public License for more details.\n",
+    "mpl.form": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    "unlicense.public": "This is free and unencumbered software released into the public domain.\n",
+    "cc0.waive": "To the extent possible under law, the author has waived all copyright and\nrelated or neighboring rights to this work.\n",
+}
+
+
+@pytest.mark.parametrize("rule", licences.RULES, ids=lambda r: f"{r[0]}-{r[1]}-{len(r[2])}")
+def test_every_rule_from_published_text(rule):
+    """Each rule from its text with its punctuation and lines: bare, after other prose, and as a block of comments."""
+    licence, kind, names = rule
+    body = "".join(AS_PUBLISHED[n] for n in names)
+    for text in (body, "Some prose; more: prose.\n\n" + body + "\nMore prose."):
+        got = licences.matched(licences.identified(text))
+        assert [m[:3] for m in got] == [(licence, kind, len(names))]
+        assert text[got[0][3] :].lstrip().startswith(body[:30])
+    if licence.startswith(("GPL", "MPL")):
+        comment = "/*\n * Copyright (C) 2020 A\n *\n" + "".join(f" * {x}\n" for x in body.splitlines()) + " */\nint x;"
+        assert [m[:3] for m in licences.matched(licences.identified(comment))] == [(licence, kind, len(names))]
+
+
 def test_rules_are_ordered():
     ids = lambda *names: [(k, k, k + 1, n) for k, n in enumerate(names)]
     two = ids("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.asis")
