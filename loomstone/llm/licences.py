@@ -87,13 +87,16 @@ RULES = [
     ("CC0-1.0", "notice", ("cc0.waive",)),
 ]
 
-#: Every sentence of a rule, and every notice and tag, holds one of these.
-TRIGGER = "licen[cs]e|permission|redistribut|warrant|copyright|spdx|free software|unencumbered|in no event|(released|distributed|available|published|provided|covered|governed) (under|by)"
+#: Every sentence of a rule, and every notice and tag, holds one of these; what parts its words may be any that normal() drops.
+TRIGGER = "licen[cs]e|permission|redistribut|warrant|copyright|spdx|free[^a-z0-9]+software|unencumbered|in[^a-z0-9]+no[^a-z0-9]+event|(released|distributed|available|published|provided|covered|governed)[^a-z0-9]+(under|by)"
 _NOTICE = re.compile(
     r"(?:(?:this|the) (?:work|software|project|file|program|text|document|article|page|content|code|library|package|dataset|data)(?: in this \w+)? (?:is|are) )?(?:dual )?"
     r"(?:licensed|released|distributed|available|published|made available|provided|covered|governed)(?: under| by)(?: the)?(?: terms of(?: the)?)? (.+)"
 )
-_SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
+_ID = r"(?:\([ \t]*)*[A-Za-z0-9.+-]+(?::[A-Za-z0-9.+-]+)?(?:[ \t]*\))*"
+#: Small "and", "or" may be prose; they join if a capital or a number is in the word that follows.
+_JOIN = r"[ \t]+(?:AND|OR|WITH|(?:and|or|with)(?=[ \t]+\S*[A-Z0-9]))[ \t]+"
+_SPDX = re.compile(rf"SPDX-License-Identifier:\s*({_ID}(?:{_JOIN}{_ID})*)")
 _COPYRIGHT = re.compile(r"(?:copyright|c)(?: c)? \d{4}\b.*|copyright c .*")
 _END = re.compile(r"[.!?;:](?=\s|$)|\n[ \t\r]*\n")
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -108,6 +111,15 @@ def normal(sentence: str) -> str:
     return " ".join(_WORDS.findall(sentence.lower().replace("licence", "license")))
 
 
+def _tag(m: re.Match) -> tuple[int, str]:
+    """(end, expression) of a tag: all its identifiers and operators, less brackets that close what is around it."""
+    e, end = m[1], m.end()
+    while e.endswith(")") and e.count(")") > e.count("("):
+        e = e[:-1].rstrip()
+        end = m.start(1) + len(e)
+    return end, re.sub(r"(?<=\() | (?=\))", "", " ".join(e.split()))
+
+
 def identify(sentence: str) -> str | None:
     """Identifier of a sentence: a known one's, notice:LICENCE, tag:LICENCE, copyright, or none."""
     n = normal(sentence)
@@ -116,7 +128,7 @@ def identify(sentence: str) -> str | None:
         return got
     m = _SPDX.search(sentence)
     if m:
-        return f"tag:{m[1]}"
+        return f"tag:{_tag(m)[1]}"
     m = _NOTICE.fullmatch(n)
     if m:
         name = m[1]
@@ -189,7 +201,8 @@ def identified(text: str) -> list[tuple[int, int, int, str | None]]:
             k += found if joined else max(1, found)
         for s in [s for s in tags if a <= s < b]:
             m = tags.pop(s)
-            out.append((k, m.start(), m.end(), f"tag:{m[1]}"))
+            end, e = _tag(m)
+            out.append((k, m.start(), end, f"tag:{e}"))
             k += 1
     return out
 

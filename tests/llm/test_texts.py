@@ -234,6 +234,19 @@ def test_every_rule_from_published_text(rule):
         assert [m[:3] for m in licences.matched(licences.identified(comment))] == [(licence, kind, len(names))]
 
 
+def test_licence_notices_over_lines_and_whole_expressions(spark):
+    tag = "SPDX-License-Identifier: "
+    rows = [
+        (1, "Released\nunder CC0."), (2, "Released  under GPLv3."), (3, "# Released\n# under the GPLv3."), (4, tag + "MIT OR Apache-2.0\nword"), (5, f"/* {tag}(GPL-2.0-only WITH Linux-syscall-note) OR MIT */"), (6, f"<!-- ({tag}MIT) -->"),
+        (7, f"{tag}( MIT  AND (ISC OR CC0-1.0) ) or so"), (8, tag + "MIT OR\nelse"), (9, tag + "BSD-3-Clause and more"), (10, tag + "MIT or Apache-2.0"),
+    ]
+    got = sorted((r["doc_id"], r["licence"], r["kind"]) for r in licences.scanned(frame(spark, rows)).collect())
+    assert got == [
+        (1, "CC0-1.0", "notice"), (2, "GPL-3.0", "notice"), (3, "GPL-3.0", "notice"), (4, "MIT OR Apache-2.0", "tag"), (5, "(GPL-2.0-only WITH Linux-syscall-note) OR MIT", "tag"), (6, "MIT", "tag"),
+        (7, "(MIT AND (ISC OR CC0-1.0))", "tag"), (8, "MIT", "tag"), (9, "BSD-3-Clause", "tag"), (10, "MIT or Apache-2.0", "tag"),
+    ]
+
+
 def test_rules_are_ordered():
     ids = lambda *names: [(k, k, k + 1, n) for k, n in enumerate(names)]
     two = ids("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.asis")
