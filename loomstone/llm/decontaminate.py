@@ -7,7 +7,8 @@ of length m occurs in a document with e edits only if m + 1 - q (e + 1) of its
 q-grams recur there on diagonals no more than e apart. So shared q-grams are
 counted in bands of 2 (e + 1) diagonals, each overlapping the next by half;
 bands that reach the bound are verified by an alignment of the piece within the
-band's diagonals. The work of a document happens where it is read: no shuffle.
+band's diagonals. An exact copy of PIECE bytes from anywhere in an item may hold
+no whole piece, so these are found by a rolling hash. The work of a document happens where it is read: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import store
-from loomstone.llm.kernels import U64, buffers, slices
+from loomstone.llm.kernels import BYTE_HASH, U64, buffers, prefix_hash, range_hash, slices
 
 Q = 8
 PIECE = 100
@@ -59,17 +60,26 @@ def grams(n: np.ndarray) -> np.ndarray:
     return four[:-4] | four[4:] << U64(32)
 
 
+def windows(n: np.ndarray) -> np.ndarray:
+    """Hash of the PIECE bytes from each position on."""
+    p = np.arange(max(0, len(n) - PIECE + 1))
+    return range_hash(prefix_hash(n, BYTE_HASH), p, p + PIECE) if len(p) else np.zeros(0, U64)
+
+
 class Index:
     """The pieces of a benchmark block and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
         self.piece: list[np.ndarray] = []
+        run, of = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for item, text in items:
             n, _ = normalised(np.frombuffer((text or "").encode(), np.uint8))
             n = np.frombuffer(n.tobytes().strip(), np.uint8)
             if len(n) < LEAST:
                 continue
+            run.append(windows(n))
+            of.append(np.full(len(run[-1]), len(self.item)))
             for a in range(0, max(1, len(n) - PIECE // 2), PIECE // 2):
                 a = max(0, min(a, len(n) - PIECE))
                 self.item.append(item)
@@ -85,6 +95,12 @@ class Index:
         self.first, self.owner, self.place = first, owner[order], place[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._cell(self.key)] = True
+        r, o = np.concatenate(run), np.concatenate(of)  # hashes, the first piece of the item
+        order = np.argsort(r, kind="stable")
+        self.run, self.run_first, self.run_count = np.unique(r[order], return_index=True, return_counts=True)
+        self.run_of = o[order]
+        self.run_filter = np.zeros(1 << FILTER_BITS, bool)
+        self.run_filter[self._cell(self.run)] = True
 
     @staticmethod
     def _cell(k: np.ndarray) -> np.ndarray:
@@ -112,6 +128,26 @@ class Index:
         p, b = p[good], (ones[good] & ((1 << 40) - 1))
         return p, b * (self.edits[p] + 1) - PIECE
 
+    def runs(self, n: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, first piece of the item, start, end in n): what exact copies of PIECE bytes of an item span in a row."""
+        h = windows(n)
+        hit = np.flatnonzero(self.run_filter[self._cell(h)])
+        at = np.searchsorted(self.run, h[hit])
+        at[at == len(self.run)] = 0
+        row = np.searchsorted(first, hit, "right") - 1
+        ok = (self.run[at] == h[hit]) & (hit + PIECE <= first[np.minimum(row + 1, len(first) - 1)]) if len(self.run) else np.zeros(len(hit), bool)
+        hit, at, row = hit[ok], at[ok], row[ok]
+        if not len(hit):
+            return []
+        c = self.run_count[at]
+        of = self.run_of[np.repeat(self.run_first[at] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))]
+        hit, row = np.repeat(hit, c), np.repeat(row, c)
+        order = np.lexsort((hit, of, row))
+        hit, row, of = hit[order], row[order], of[order]
+        begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[1:] != of[:-1])]))
+        last = np.append(begin[1:], len(hit)) - 1
+        return list(zip(row[begin].tolist(), of[begin].tolist(), hit[begin].tolist(), (hit[last] + PIECE).tolist(), strict=True))
+
     def align(self, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least edits, end in n) of each piece within 2 (e + 1) diagonals from the given one on and e on either side.
 
@@ -166,13 +202,18 @@ class Index:
             was = found.setdefault((r, self.item[p]), span)
             found[r, self.item[p]] = [min(was[0], span[0]), min(was[1], span[1]), max(was[2], span[2])]
             pieces.setdefault((r, self.item[p]), set()).add(p)
+        for r, p, lo, hi in self.runs(n, first):
+            span = [0, int(at[lo] - (offs[r] - base)), int(at[hi - 1] - (offs[r] - base)) + 1]
+            was = found.setdefault((r, self.item[p]), span)
+            found[r, self.item[p]] = [0, min(was[1], span[1]), max(was[2], span[2])]
+            pieces.setdefault((r, self.item[p]), {p})
         return [(r, item, len(pieces[r, item]), *span) for (r, item), span in sorted(found.items())]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded size, one at a time."""
     held, size = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         if held and size + len(row["text"]) * 4 > BLOCK_BYTES:
             yield held
             held, size = [], 0
@@ -187,12 +228,12 @@ FOUND = "doc_id long, item_id long, pieces int, edits int, start long, end long"
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item of which the document holds a piece: pieces, least edits, and the byte range of the text that they span.
 
-    Null and empty texts hold nothing; null and short items are not searched;
+    An exact copy of PIECE bytes that holds no whole piece counts as one. Null and empty texts hold nothing; null and short items are not searched;
     rows that repeat give repeated rows, and items of equal text are each
     reported. An empty benchmark or table gives no rows.
     """
     out = None
-    for items in blocks(benchmark):
+    for items in blocks(benchmark.where("item_id is not null")):
         sent = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -218,7 +259,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
+            index = Index([(-1, text) for _, text in sent.value])  # an item without an id counts too
             for batch in batches:
                 data, offs = buffers(batch.column("text"))
                 keep = np.ones(batch.num_rows, bool)

@@ -161,6 +161,22 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_runs_between_pieces_and_items_without_id(spark):
+    rnd = random.Random(6)
+    prose = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    item, other = prose(1000), prose(200)
+    rows = [(a, f"{prose(70)} {item[a : a + 100 + a % 40]} {prose(90)}") for a in range(0, 860, 13)]
+    rows += [(2000, f"{prose(300)} {item[333:383]} {prose(300)}"), (2001, prose(500)), (2002, prose(30) + " " + other), (2003, item[20:120]), (2004, None), (2005, item[:60]), (2006, item[60:140])]
+    bench = spark.createDataFrame([(1, item), (2, item), (None, other)], "item_id long, text string")
+    docs = frame(spark, rows).coalesce(1)
+    got = decontaminate.contaminated(docs, bench).collect()
+    hold = [a for a, _ in rows if a < 1000] + [2003]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(a, k) for a in hold for k in (1, 2)]
+    text = dict(rows)
+    assert all(r["pieces"] >= 1 and r["edits"] == 0 and text[r["doc_id"]][r["start"] : r["end"]].strip().find(item[r["doc_id"] : r["doc_id"] + 100]) >= 0 for r in got if r["doc_id"] < 1000)
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2000, 2001, 2004, 2005, 2006]
+
+
 def test_qgram_bound_loses_nothing():
     """Every window with at most e random edits is found."""
     rng = random.Random(9)
