@@ -23,6 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SLOTS = 1 << 16
 GOLDEN = 0.6180339887498949
+#: Slots that are ranked together.
+CHUNK = 1 << 10
 SEED = 20240917
 
 
@@ -61,7 +63,11 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[Source]:
 
 
 def schedule(spark: SparkSession, sources: list[Source], block: int) -> DataFrame:
-    """slot, src, r: the slots in order; at most one per block and so of bounded number."""
+    """slot, src, r: the slots in order; at most one per block and so of bounded number.
+
+    Ranks are counted inside chunks of slots, each offset by its source's slots
+    in the chunks before.
+    """
     total = sum(s.taken for s in sources)
     n = -(-total // block)
     ends, acc = [], 0.0
@@ -71,8 +77,11 @@ def schedule(spark: SparkSession, sources: list[Source], block: int) -> DataFram
     point = F.pmod((F.col("id") + 0.5) * F.lit(GOLDEN), F.lit(1.0))
     need = F.array(*(F.lit(-(-s.taken // block)).cast("long") for s in sources))
     src = F.least(F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x <= F.col("u"))), F.lit(len(sources) - 1))
-    slots = spark.range(n).withColumn("u", point).withColumn("src", src)
-    slots = slots.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("id")) - 1)
+    slots = spark.range(n).withColumn("u", point).withColumn("src", src).withColumn("chunk", F.floor(F.col("id") / CHUNK))
+    earlier = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.groupBy("src", "chunk").agg(F.count("*").alias("k")).select("src", "chunk", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
+    slots = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("id")) - 1)
+    slots = slots.join(F.broadcast(before), ["src", "chunk"]).withColumn("r", F.col("r") + F.col("before"))  # no more rows than slots
     hit = slots.where(F.col("r") < F.get(need, F.col("src"))).select(F.col("id").alias("slot"), "src", F.col("r").cast("long").alias("r"))
     every = spark.createDataFrame([(i, -(-s.taken // block)) for i, s in enumerate(sources) if s.taken], "src int, n long")
     every = every.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("r"))
@@ -84,53 +93,79 @@ def words(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def streams(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFrame, list[Source]]:
-    """Rows in stream order with size, src and at (words of the source's stream before), and the sources."""
-    rows = docs.withColumn("size", words()).withColumn("rid", F.monotonically_increasing_id())
-    rows = rows.withColumn("_shuffle", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")))
-    rows = rows.withColumn("_last", F.col("source").isNull())
-    rows = ranks.ordered(rows, "_last", "source", "_shuffle", "doc_id", "rid", tag="mix-rows")
+def measured(docs: DataFrame, *more) -> DataFrame:
+    """Written rows of rid, doc_id, source, size and shuffle (a hash of id and text), and more columns; the texts are read once."""
+    own = [F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col("source"), words().alias("size"), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("shuffle")]
+    return store.written(docs.select(*own, *more), "mix-sizes")
+
+
+def streams(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[DataFrame, list[Source]]:
+    """Measured rows in stream order with src, at (words of the source's stream before), and what is known of their source; and the sources."""
+    rows = rows.select("*", F.col("source").isNull().alias("last"))
+    rows = ranks.ordered(rows, "last", "source", "shuffle", "doc_id", "rid", tag="mix-rows")
     sources = plan(rows, weights)
-    return ranks.running(rows, _end="size"), sources
+    info = [(i, s.name, s.size, s.target, s.taken, s.start) for i, s in enumerate(sources)]
+    info = rows.sparkSession.createDataFrame(info, "src int, name string, source_size long, target double, goal long, src_start long")
+    rows = ranks.running(rows, end="size").join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name")))  # a row per source
+    return rows.select("rid", "pos", "doc_id", "size", "source_size", "target", "goal", "src", (F.col("end") - F.col("size") - F.col("src_start")).alias("at")), sources
+
+
+def epochs():
+    """Where in the repeated stream of its source a row starts, for each time that the mix reaches it."""
+    starts = F.transform(F.array(*(F.lit(e).cast("long") for e in range(MAX_EPOCHS))), lambda e: F.col("at") + e * F.col("source_size"))
+    return F.filter(starts, lambda b: (b < F.col("goal")) & (F.col("size") > 0))
+
+
+def block_words(sources: list[Source], slots: int) -> int:
+    return max(1, -(-sum(s.taken for s in sources) // slots))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, source_size, target, taken and first_slot of every row of docs (doc_id, text, source).
 
     A null text has no words and is never taken; null sources form one source,
-    the last; an id that repeats counts as so many documents. An empty table
+    the last; an id that repeats counts as so many documents. Ties cannot
+    change the result: rows that id, source and text don't tell apart are the
+    same. A text of any length is only counted where it is read. An empty table
     gives no rows. first_slot is the slot that first holds words of the row,
     null where none does.
     """
-    spark = docs.sparkSession
-    rows, sources = streams(docs.select("doc_id", "text", "source").withColumn("text", F.col("text")), weights)
+    rows, sources = streams(measured(docs), weights)
     if not sources:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("first_slot"))
-    block = max(1, -(-sum(s.taken for s in sources) // slots))
-    info = spark.createDataFrame([(i, s.name, s.size, s.target, s.taken, s.start) for i, s in enumerate(sources)], "src int, source string, source_size long, target double, goal long, src_start long")
-    rows = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["source"])).drop("source")  # a row per source
-    rows = rows.select("rid", "doc_id", "size", "source_size", "target", "goal", "src", (F.col("_end") - F.col("size") - F.col("src_start")).alias("at"))
-    epoch = F.filter(F.transform(F.array(*(F.lit(e).cast("long") for e in range(MAX_EPOCHS))), lambda e: F.col("at") + e * F.col("source_size")), lambda b: (b < F.col("goal")) & (F.col("size") > 0))
-    uses = rows.select("*", F.explode_outer(epoch).alias("lo")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("goal")))
+        return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("first_slot"))
+    block = block_words(sources, slots)
+    uses = rows.select("*", F.explode_outer(epochs()).alias("lo")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("goal")))
     span = F.when(F.col("lo").isNotNull(), F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block)))
     cut = uses.select("*", F.explode_outer(span).alias("r"))
-    cut = cut.join(F.broadcast(schedule(spark, sources, block)), ["src", "r"], "left")  # at most slots + sources rows
+    cut = cut.join(F.broadcast(schedule(docs.sparkSession, sources, block)), ["src", "r"], "left")  # at most slots + sources rows
     part = F.when(F.col("slot").isNotNull(), F.least("hi", (F.col("r") + 1) * block) - F.greatest("lo", F.col("r") * block)).otherwise(0)
-    out = cut.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.sum(part).alias("taken"), F.min("slot").alias("first_slot"))
-    return out.drop("rid")
+    out = cut.groupBy("pos", "doc_id", "size", "source_size", "target").agg(F.sum(part).alias("taken"), F.min("slot").alias("first_slot"))
+    return out.drop("pos")
 
 
-def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs itself in mixed amounts: a row once for each epoch in which its stream reaches it, all columns kept."""
-    rows, sources = streams(docs.select("doc_id", "text", "source", F.struct("*").alias("_doc")), weights)
+def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+    """docs itself, all columns, in mixed amounts and in the order of the schedule.
+
+    A row stands once for each time that the mix reaches it, in the slot that
+    holds its first word; the row in which a source's target ends is kept
+    whole, so a source exceeds its target by less than one of its documents.
+    Partitions and the rows in them follow the slots. A null or empty text has
+    no words and is never taken, a null source is a source, rows that repeat
+    are taken each for itself, and an empty table gives no rows. Texts are
+    shuffled twice, to their places and to their slots; all that is computed
+    before that is computed on sizes.
+    """
     spark = docs.sparkSession
+    base = measured(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows, sources = streams(base.drop("doc"), weights)
     if not sources:
-        return rows.select("_doc.*")
-    info = spark.createDataFrame([(s.name, s.size, s.taken, s.start) for s in sources], "_name string, _all long, _goal long, _start long")
-    rows = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["_name"]))  # a row per source
-    at = F.col("_end") - F.col("size") - F.col("_start")
-    times = sum((F.when((at + F.lit(e) * F.col("_all") < F.col("_goal")) & (F.col("size") > 0), 1).otherwise(0) for e in range(MAX_EPOCHS)), F.lit(0))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(MAX_EPOCHS)))).where(F.col("_epoch") <= times).select("_doc.*")
+        return base.select("doc.*")
+    block, parts = block_words(sources, slots), store.partitions(spark)
+    n = max(1, -(-sum(s.taken for s in sources) // block))
+    uses = rows.select("rid", "src", F.explode(epochs()).alias("lo")).withColumn("r", F.floor(F.col("lo") / block))
+    uses = uses.join(F.broadcast(schedule(spark, sources, block)), ["src", "r"]).select("rid", "slot", "src", "lo")  # at most slots + sources rows
+    uses = uses.withColumn("part", F.least(F.floor(F.col("slot") * parts / n), F.lit(parts - 1)).cast("int"))  # slots hold equal amounts
+    return base.select("rid", "doc").join(uses, "rid").repartitionById(parts, F.col("part")).sortWithinPartitions("slot", "src", "lo").select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(table: DataFrame, *columns: str) -> tuple[DataFrame, tuple[str, str]]:
+    """Columns of a Parquet table and the names of two more, by which its rows stand as they were written."""
+    at = table.metadataColumn("_metadata")
+    file, row = (next(x for k in range(len(columns) + 1) if (x := f"{c}_{k}") not in columns) for c in ("file", "row"))
+    return table.select(*(F.col(f"`{c}`") for c in columns), at["file_name"].alias(file), at["row_index"].alias(row)), (file, row)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,12 +5,14 @@ another, little-endian, 16 bits wide if the vocabulary allows and 32 otherwise.
 `<name>.idx` maps a document key to its ids:
 
     8 bytes   magic LMSIDX01
-    int64 x 6 width of an id, documents, distinct keys, levels, ids, first key's row
+    int64 x 6 width of an id, documents, distinct keys, levels, ids, flags
     per level int64 bits, uint64 words of the level's bit vector
     uint32    ones before each 512-bit block, over all levels joined
     per slot  uint32 fingerprint, uint32 rows, int64 first row
     per row   int64 first id, and one more: the total
     per row   int64 key
+    flag 1    per row in key order, int64 row: where rows don't stand in key order
+    flag 2    a bit for each row whose key is null (its key above is the least long)
 
 The hash is built level by level: of the keys not yet placed, those alone on
 their bit of the level's vector are placed there; the others go on. A key's slot
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import store
-from loomstone.llm.kernels import U64, buffers, mix64, slices
+from loomstone.llm.kernels import U64, buffers, mix64, released, slices
 
 MAGIC = b"LMSIDX01"
 GAMMA = 2.0
@@ -109,22 +111,28 @@ class PerfectHash:
 
 # --- shard files ----------------------------------------------------------
 
-def index_bytes(keys: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
-    """The index file of rows in key order; equal keys stand together."""
+def index_bytes(keys: np.ndarray, lengths: np.ndarray, width: int, null: np.ndarray | None = None) -> bytes:
+    """The index file of rows in any order; null: a mask of the rows without key."""
     keys = keys.astype(np.int64)
-    distinct, first, rows = np.unique(keys, return_index=True, return_counts=True)
+    place = np.argsort(keys, kind="stable")
+    distinct, first, rows = np.unique(keys[place], return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
     slot = mph.slot(distinct)
     entry = np.zeros(len(distinct), np.dtype([("print", "<u4"), ("rows", "<u4"), ("first", "<i8")]))
     entry["print"][slot], entry["rows"][slot], entry["first"][slot] = fingerprint(distinct), rows, first
     starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype("<i8")
+    moved, gone = bool((place[1:] < place[:-1]).any()), null is not None and bool(null.any())
     out = io.BytesIO()
     out.write(MAGIC)
-    out.write(np.array([width, len(keys), len(distinct), len(mph.sizes), starts[-1], 0], "<i8").tobytes())
+    out.write(np.array([width, len(keys), len(distinct), len(mph.sizes), starts[-1], moved + 2 * gone], "<i8").tobytes())
     for bits, words in zip(mph.sizes, mph.levels, strict=True):
         out.write(np.array([bits], "<i8").tobytes() + words.astype("<u8").tobytes())
     for part in (mph.ranks.astype("<u4"), entry, starts, keys.astype("<i8")):
         out.write(part.tobytes())
+    if moved:
+        out.write(place.astype("<i8").tobytes())
+    if gone:
+        out.write(np.packbits(null).tobytes())
     return out.getvalue()
 
 
@@ -142,7 +150,7 @@ class Shard:
             at += got.nbytes
             return got
 
-        self.width, self.rows, distinct, levels, total, _ = (int(x) for x in take("<i8", 6))
+        self.width, self.rows, distinct, levels, total, flags = (int(x) for x in take("<i8", 6))
         vectors, sizes = [], []
         for _ in range(levels):
             sizes.append(int(take("<i8", 1)[0]))
@@ -152,10 +160,12 @@ class Shard:
             raise ValueError("damaged id index")
         self.entry = take(np.dtype([("print", "<u4"), ("rows", "<u4"), ("first", "<i8")]), distinct)
         self.starts, self.keys = take("<i8", self.rows + 1), take("<i8", self.rows)
+        self.place = take("<i8", self.rows) if flags & 1 else np.arange(self.rows)
+        self.null = np.unpackbits(take(np.uint8, -(-self.rows // 8)), count=self.rows).astype(bool) if flags & 2 else np.zeros(self.rows, bool)
         self.ids = np.frombuffer(ids, "<u2" if self.width == 2 else "<u4", total)
 
     def locate(self, keys) -> tuple[np.ndarray, np.ndarray]:
-        """(first row, number of rows) of each key; 0 rows for a key the shard doesn't hold."""
+        """(first place in key order, number of rows) of each key; 0 rows for a key the shard doesn't hold."""
         keys = np.asarray(keys, np.int64)
         slot = self.mph.slot(keys)
         if not len(self.entry):
@@ -167,7 +177,7 @@ class Shard:
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each document of this key."""
         first, rows = (int(x[0]) for x in self.locate([key]))
-        return [self.ids[self.starts[r] : self.starts[r + 1]] for r in range(first, first + rows)]
+        return [self.ids[self.starts[r] : self.starts[r + 1]] for r in self.place[first : first + rows].tolist()]
 
 
 # --- tokenizer ------------------------------------------------------------
@@ -182,9 +192,12 @@ class WordMemo:
     the punctuation after it, and it lowers capitals itself; so the ids of a
     text are those of its words, cut before closing punctuation and in lower
     case, in order. A memo of bounded size keeps the ids, as bytes, of words met
-    lately. Texts that hold the beginning of a special token are encoded whole.
+    lately. Texts that hold the beginning of a special token are encoded whole,
+    and all texts are where a tokenizer doesn't encode PROBES like that.
     """
 
+    PROBES = ("The Quick  fox, jumps. Over\n\tthe LAZY dog!", "Isn't it (fine)., OK!! 12.5% a-b c_d e@f.g", "ÀÉ é à la İx ß ﬁ", "x　y z ½ ", "日本語 и Русский", "a.b c... d)e [f] {g} h;i 1,000.00 \"q\"", "zero\u200bwidth tab\there")
+
     CLOSING = r"([A-Za-z])([.,;:!?|$%&*#()\[\]=+-]+)(\s|$)"
 
     def __init__(self, path: str):
@@ -196,6 +209,10 @@ class WordMemo:
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_word = self.sep is not None
+        if self.by_word:
+            got, n = self.encode(pa.array(self.PROBES), None)
+            self.by_word = [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])] == [self.tok.encode(x, add_special_tokens=False).ids for x in self.PROBES]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         out, size = [], self.kind.itemsize
@@ -222,7 +239,7 @@ class WordMemo:
         """(all ids, ids per row); each row ends with `end` if given."""
         if col.null_count:
             col = pc.fill_null(col, "")
-        odd = np.flatnonzero(pc.match_substring(col, "<|").to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring(col, "<|").to_numpy(zero_copy_only=False)) if self.by_word else np.arange(len(col))
         whole = {int(i): np.array(self.tok.encode(col[int(i)].as_py(), add_special_tokens=False).ids, self.kind).tobytes() for i in odd}
         if whole:
             mask = np.zeros(len(col), bool)
@@ -260,19 +277,27 @@ def memo(path: str) -> WordMemo:
 MANIFEST = "part int, seq int, path string, first_key long, last_key long, docs long, ids long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS, order: tuple[str, ...] = ()) -> DataFrame:
     """Encode all texts and write them as shards in ascending key order; the manifest, one row per shard.
 
-    A null text counts as empty, a null key as the least long; rows of one key
-    keep together, in the order of their texts' hash. Files are written under a
-    name of the attempt's own; only those of attempts that succeed come into
-    the manifest, which is itself written, so a lost executor repeats its
-    shards and no other. An empty table gives an empty manifest.
+    A null text counts as empty; a null key comes first and stays null; rows of
+    one key keep together, in the order of their texts' hash. With order, the
+    names of columns that together tell rows apart, rows stand in that order
+    instead. Files are written under a name of the attempt's own; only those of
+    attempts that succeed come into the manifest, which is itself written, so a
+    lost executor repeats its shards and no other. An empty table gives an empty
+    manifest.
     """
     spark = docs.sparkSession
     folder = store.fresh(spark, "ids")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.col(text).alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(F.col("k"), F.col("h")).sortWithinPartitions("k", "h", "t")
+    own = [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.col(key).isNull().alias("gone"), F.col(text).alias("t")]
+    if order:
+        rows = docs.select(*own, *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+        by = [f"o{i}" for i in range(len(order))]
+        rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    else:
+        rows = docs.select(*own).withColumn("h", F.xxhash64("t"))
+        rows = rows.repartitionByRange(F.col("k"), F.col("gone").desc(), F.col("h")).sortWithinPartitions("k", F.col("gone").desc(), "h", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -282,6 +307,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
         coder, part, seq = memo(tokenizer), TaskContext.get().partitionId(), 0
         width = coder.kind.itemsize
         keys: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         out, name, held = None, "", 0
 
@@ -290,9 +316,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
             out.close()
             k, n = np.concatenate(keys), np.concatenate(lengths)
             with files.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(index_bytes(k, n, width))
-            row = {"part": part, "seq": seq, "path": name, "first_key": int(k[0]), "last_key": int(k[-1]), "docs": len(k), "ids": int(n.sum())}
+                f.write(index_bytes(k, n, width, np.concatenate(nulls)))
+            row = {"part": part, "seq": seq, "path": name, "first_key": int(k.min()), "last_key": int(k.max()), "docs": len(k), "ids": int(n.sum())}
             keys.clear()
+            nulls.clear()
             lengths.clear()
             seq, out = seq + 1, None
             return pa.RecordBatch.from_pylist([row], schema)
@@ -308,6 +335,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
                     out = files.open_output_stream(f"{base}/{name}.ids")
                 out.write(ids.tobytes())
                 keys.append(batch.column("k").slice(lo, hi - lo).to_numpy())
+                nulls.append(batch.column("gone").slice(lo, hi - lo).to_numpy(zero_copy_only=False))
                 lengths.append(n)
                 held += len(ids)
                 if held >= shard_ids:
@@ -315,7 +343,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 1, key: str = "doc_
         if out is not None:
             yield close()
 
-    made = rows.select("k", "t").mapInArrow(write, MANIFEST).withColumn("folder", F.lit(folder))
+    made = rows.select("k", "gone", "t").mapInArrow(released(write), MANIFEST).withColumn("folder", F.lit(folder))
     return store.written(made, "ids-manifest")
 
 
@@ -341,16 +369,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 first, rows = shard.locate(keys)
                 if int(rows.sum()) != shard.rows:
                     raise ValueError(f"index of {row['path']} doesn't hold all of its keys")
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(rows)[:-1]]), rows) + np.arange(shard.rows)
+                at = shard.place[np.repeat(first - np.concatenate([[0], np.cumsum(rows)[:-1]]), rows) + np.arange(shard.rows)]
                 lo, hi = shard.starts[at], shard.starts[at + 1]
                 wide = np.ascontiguousarray(shard.ids, "<u4").view(np.uint8).data
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(keys, rows)), pa.array(lo + row["base"]), pa.array(hi - lo), pa.array(crc, pa.int64()), pa.array([row["path"][:11]] * len(crc))],
+                    [pa.array(np.repeat(keys, rows), mask=shard.null[at]), pa.array(lo + row["base"]), pa.array(hi - lo), pa.array(crc, pa.int64()), pa.array([row["path"][:11]] * len(crc))],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard"],
                 )
 
-    return placed.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return placed.repartition(n, "path").mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def vocabulary() -> str:

@@ -95,10 +95,75 @@ def test_schedule_spreads_sources(spark):
         assert abs(sum(s == 0 for _, s, _ in slots[:n]) - n * 600 / 905) < 4
 
 
+def mix_by_hand(spark, rows, slots):
+    """(doc_id, text, source, taken, first slot) of every row, with lists only; the hash of the shuffle is Spark's."""
+    df = frame(spark, rows).select("doc_id", "text", "source", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h"))
+    order = sorted(((r["source"] is None, r["source"] or "", r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in df.collect()), key=lambda r: r[:5])
+    size = lambda t: len((t or "").encode().split())
+    names = sorted({(o[0], o[1]) for o in order})
+    streams = [[(o[4] if o[3] else None, o[5]) for o in order if o[:2] == n] for n in names]
+    sizes = [sum(size(t) for _, t in s) for s in streams]
+    taken = [min(round(t), 3 * n) for t, n in zip(mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(names))]), sizes, strict=True)]
+    block = max(1, -(-sum(taken) // slots))
+    need = [-(-t // block) for t in taken]
+    of, n, acc, ends = {}, -(-sum(taken) // block), 0.0, []
+    for t in taken:
+        acc += t / max(1, sum(taken))
+        ends.append(acc)
+    count = [0] * len(names)
+    for slot in range(n):
+        u = ((slot + 0.5) * mixing.GOLDEN) % 1.0
+        src = min(sum(e <= u for e in ends), len(names) - 1)
+        if count[src] < need[src]:
+            of[src, count[src]] = slot
+        count[src] += 1
+    for src, k in enumerate(need):
+        for r in range(k):
+            of.setdefault((src, r), n + r * len(names) + src)
+    out, uses = [], []
+    for src, stream in enumerate(streams):
+        at = 0
+        for doc, text in stream:
+            took, first = 0, None
+            for e in range(3):
+                lo = at + e * sizes[src]
+                words = range(lo, min(lo + size(text), taken[src]))
+                took += len(words)
+                if len(words):
+                    slot = [of[src, r] for r in sorted({w // block for w in words})]
+                    first = min([*slot, first] if first is not None else slot)
+                    uses.append((slot[0], src, lo, doc, text))
+            out.append((doc, size(text), sizes[src], took, first))
+            at += size(text)
+    return out, [(u[3], u[4]) for u in sorted(uses, key=lambda u: u[:3])]
+
+
+MIXED = [(i, " ".join(["w", str(i)] * (i % 9)), ["a", "b", "c", "d", None][i * i % 5]) for i in range(150)] + [(7, None, "a"), (7, None, "a"), (8, "x y\tz", "e"), (None, "p q r", "b"), (9, "", "c"), (9, "s t u", "c"), (9, "s t u", "c"), (10, "long " * 3000, "a")]
+
+
+@pytest.mark.parametrize("slots", [16, 3000])
+def test_mix_by_hand(spark, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    want, order = mix_by_hand(spark, MIXED, slots)
+    got = mixing.mixed(frame(spark, MIXED), slots=slots).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"], r["first_slot"]) for r in got), key=key) == sorted(want, key=key)
+    rows = mixing.remixed(frame(spark, MIXED), slots=slots).collect()
+    assert [(r["doc_id"], r["text"]) for r in rows] == order
+
+
+def test_mix_of_nothing_to_take(spark):
+    rows = [(1, None, "a"), (2, "", None), (3, " \n", "b")]
+    assert sorted(tuple(r)[1:] for r in mixing.mixed(frame(spark, rows)).collect()) == [(0, 0, 0.0, 0, None)] * 3
+    assert mixing.remixed(frame(spark, rows)).count() == 0
+
+
 def test_remix_keeps_columns(spark):
     rows = [(i, "a b c", "s") for i in range(5)] + [(9, "d", "t")]
-    got = mixing.remixed(frame(spark, rows).withColumn("size", F.lit(1)).withColumn("pos", F.lit(2)))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "pos"] and {(r["size"], r["pos"]) for r in got.collect()} == {(1, 2)}
+    clash = ("size", "pos", "part", "rid", "doc", "slot", "src", "lo", "r", "shuffle")
+    docs = frame(spark, rows).select("*", *(F.lit(k).alias(c) for k, c in enumerate(clash)))
+    got = mixing.remixed(docs)
+    assert got.columns == docs.columns and {tuple(r[c] for c in clash) for r in got.collect()} == {tuple(range(len(clash)))}
     assert {r["doc_id"] for r in got.collect()} <= {i for i, _, _ in rows}
 
 

@@ -6,10 +6,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, jaccard, licences, quality, registry, suffixes, token_ids
+from loomstone.llm import decontaminate, jaccard, licences, quality, registry, store, suffixes, token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
 
@@ -323,6 +324,47 @@ def test_token_ids(spark):
     assert token_ids.read_shards(token_ids.write_shards(frame(spark, []), token_ids.vocabulary())).count() == 0
 
 
+def test_token_ids_of_null_and_least_keys(spark):
+    rows = [(None, "one two"), (-(2**63), "three"), (None, None), (4, "the end"), (-(2**63), "four five six")]
+    got = sorted((tuple(r)[:3] for r in token_ids.read_shards(token_ids.write_shards(frame(spark, rows), token_ids.vocabulary(), shard_ids=3)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, -(2**63), -(2**63), 4]
+    assert sorted(r[2] for r in got[:2]) == [1, 3] and sorted(r[2] for r in got[2:4]) == [2, 4] and got[0][1] == 0
+
+
+def test_token_ids_in_a_given_order(spark, tmp_path):
+    """Shards in the order in which rows stand in a table, found by key all the same."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(-3, 12), " ".join(["word", "of", "x"] * rnd.randrange(4)), k) for k in range(90)] + [(None, "none", 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file int").repartitionByRange(5, "file").sortWithinPartitions("file")
+    docs.write.parquet(str(tmp_path / "t"))
+    numbered, order = store.numbered(spark.read.parquet(str(tmp_path / "t")), "doc_id", "text", "file")
+    assert [r["file"] for r in numbered.orderBy(*order).collect()] == list(range(91))
+    manifest = token_ids.write_shards(numbered, token_ids.vocabulary(), shard_ids=40, order=order)
+    got = sorted(token_ids.read_shards(manifest).collect(), key=lambda r: r["start"])
+    tok, at = Tokenizer.from_file(token_ids.vocabulary()), 0
+    for (doc, text, _), r in zip(rows, got, strict=True):
+        n = len(tok.encode(text, add_special_tokens=False).ids) + 1
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (doc, at, n)
+        at += n
+
+
+def test_word_memo_knows_its_tokenizer(tmp_path):
+    """A tokenizer that keeps capitals, or has no separator, encodes whole texts."""
+    import json
+
+    assert token_ids.memo(token_ids.vocabulary()).by_word
+    plain = json.load(open(token_ids.vocabulary(), encoding="utf-8"))
+    plain["normalizer"] = None
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(plain))
+    coder = token_ids.WordMemo(str(path))
+    assert not coder.by_word
+    ids, n = coder.encode(pa.array(["A Word, two", None]), 1)
+    assert ids.tolist() == [*coder.tok.encode("A Word, two", add_special_tokens=False).ids, 1, 1] and n.tolist() == [len(ids) - 1, 1]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-(2**60), 2**60, 5000))
     mph = token_ids.PerfectHash.build(keys)
