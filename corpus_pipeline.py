@@ -34,13 +34,14 @@ def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each epoch that reaches it."""
+    """Documents as often as the mix takes them, in the order of its slots."""
     return mixing.remixed(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the id shards hold for each row."""
-    return token_ids.read_shards(token_ids.write_shards(docs, token_ids.vocabulary()))
+    """What the id shards hold for each row; the shards keep the rows in the order of the table, which is the mix's."""
+    rows, order = store.numbered(docs, "doc_id", "text")
+    return token_ids.read_shards(token_ids.write_shards(rows, token_ids.vocabulary(), order=order))
 
 
 STAGES = [
