@@ -72,6 +72,14 @@ def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((c[end] - c[start]) * powers(len(c))[1][start] + (end - start).astype(U64))
 
 
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of so many bytes from each position on."""
+    if len(data) < size:
+        return np.zeros(0, U64)
+    c = prefix_hash(data, BYTE_HASH)
+    return mix64((c[size:] - c[:-size]) * powers(len(c))[1][: len(data) - size + 1])
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a text or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

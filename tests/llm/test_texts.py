@@ -178,6 +178,89 @@ def test_decontaminate_runs_between_pieces_and_items_without_id(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2000, 2001, 2004, 2005, 2006]
 
 
+def test_decontaminate_short_items(spark):
+    """Items too short for the q-gram bound, as whole words without edits."""
+    rnd = random.Random(7)
+    filler = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    items = [(1, "Zug um Zug!"), (2, "x"), (3, "zug um zug"), (4, "the forty-seven bytes of this item are no more"), (5, "?!"), (6, None), (None, "kontra")]
+    rows = [(1, filler() + " ZUG,  um\nzug " + filler()), (2, "Zug um Zug"), (3, "Zugum Zug um Zuge"), (4, filler() + " x"), (5, filler() + "x " + filler()), (6, None), (7, ""), (8, filler() + "\n" + items[3][1] + "."), (9, "?!"), (10, "kontra")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    got = decontaminate.contaminated(docs, bench, least=1).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"], r["pieces"]) for r in got) == [(1, 1, 0, 1), (1, 3, 0, 1), (2, 1, 0, 1), (2, 3, 0, 1), (4, 2, 0, 1), (8, 4, 0, 1)]
+    texts = dict(rows)
+    assert {texts[r["doc_id"]][r["start"] : r["end"]].lower() for r in got if r["item_id"] in (1, 3)} == {"zug,  um\nzug", "zug um zug"}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench, least=1).collect()) == [3, 5, 6, 7, 9]
+    assert decontaminate.contaminated(docs, bench).count() == 0
+
+
+def by_force(text, item):
+    """Least edits of each of an item's pieces anywhere in the text, with the ends, by the full table."""
+    norm = lambda t: decontaminate.normalised(np.frombuffer(t.encode(), np.uint8))
+    (n, _), m = norm(text), np.frombuffer(norm(item)[0].tobytes().strip(), np.uint8)
+    out = []
+    for a in range(0, max(1, len(m) - 50), 50):
+        a = max(0, min(a, len(m) - 100))
+        p = m[a : a + 100]
+        d = np.zeros(len(n) + 1, int)
+        for i in range(len(p)):
+            new = np.concatenate([[i + 1], np.minimum(d[:-1] + (n != p[i]), d[1:] + 1)])
+            d = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        out.append((len(p) // 10, int(d.min())))
+    exact = {m[k : k + 100].tobytes() for k in range(len(m) - 99)}
+    return out, any(n[k : k + 100].tobytes() in exact for k in range(len(n) - 99))
+
+
+@pytest.mark.parametrize("size", [250, 1 << 19])
+def test_decontaminate_by_force(spark, monkeypatch, size):
+    """Finds and non-finds against the full alignment table; edits on both sides of the budget, stretches of many sizes."""
+    rnd = random.Random(size)
+    letters = "abcde fghij"
+    prose = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    items = [(k, prose(n)) for k, n in enumerate((60, 90, 100, 130, 160, 260, 420))]
+    texts = []
+    for k in range(48):
+        part = list(items[k % 7][1][rnd.choice([0, 0, 20]) :])
+        for _ in range(rnd.choice([0, 2, 5, 8, 10, 12, 16])):
+            p = rnd.randrange(len(part))
+            part[p : p + 1] = rnd.choice([[], ["q"], [part[p], "q"]])
+        texts.append(prose(rnd.randrange(400)) + "".join(part) + prose(rnd.randrange(400)))
+    want = {}
+    for d, t in enumerate(texts):
+        for k, item in items:
+            pieces, exact = by_force(t, item)
+            near = [e for most, e in pieces if e <= most]
+            if near or exact:
+                want[d, k] = 0 if exact else min(near)
+    index = decontaminate.Index(items)
+    monkeypatch.setattr(decontaminate, "SLICE", size)
+    if size < 1000:
+        monkeypatch.setattr(decontaminate, "PAIRS", 40)
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    got = index.search(np.frombuffer(b"".join(raw), np.uint8), offs)
+    assert {(g[0], g[1]): g[3] for g in got} == want and len(got) == len(want) > 20
+    assert len(want) < 48 and all(e > 0 for e in want.values()) is False
+    for row, item, _, edits, a, z in got:
+        assert 0 <= a < z <= len(raw[row]) and z - a <= len(items[item][1]) + 2 * 10 + 2 and edits <= 10
+
+
+def test_decontaminate_blocks_and_long_texts(spark, monkeypatch):
+    """Many blocks, more than a worker keeps, over texts longer than a stretch."""
+    rnd = random.Random(12)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    items = [(k, prose(150)) for k in range(30)]
+    rows = [(k, prose(3000) + items[k % 30][1] + prose(2000 + 40 * k)) for k in range(40)] + [(99, None), (100, prose(9000))]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    want = [(k, k % 30) for k in range(40)]
+    assert len(decontaminate.blocks(spark.createDataFrame(items, "item_id long, text string"))[1]) > 2 * decontaminate.BLOCKS_KEPT
+    for held in (1 << 12, 1 << 25):
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+    assert all(rows[r["doc_id"]][1][r["start"] : r["end"]].strip() == items[r["item_id"]][1].strip() for r in got if r["edits"] == 0 and r["pieces"] == 2)
+
+
 def test_qgram_bound_loses_nothing():
     """Every window with at most e random edits is found."""
     rng = random.Random(9)
