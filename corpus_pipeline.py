@@ -30,7 +30,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no piece of a benchmark item."""
-    return decontaminate.clean(docs, store.table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, store.table(spark, sf_dir, "benchmark"), least=1)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
