@@ -8,8 +8,9 @@ model is fitted on the scaled indicators with the hinge loss by dual coordinate
 descent. A logistic curve through margins of held-back folds turns margins into
 scores.
 
-The fit reads at most FIT_ROWS labelled rows, those with the smallest hash of
-their id, and so stays of bounded size on the driver; scoring reads every text.
+The fit reads at most FIT_ROWS labelled documents, those with the smallest hash
+of their id, one row of each, and of these no more than FIT_FEATURES indicators,
+and so stays of bounded size on the driver; scoring reads every text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import store
-from loomstone.llm.kernels import BYTE_HASH, SLICE_BYTES, U64, Words, buffers, mix64, prefix_hash, range_hash, slices
+from loomstone.llm.kernels import SLICE_BYTES, U64, Words, buffers, hash_ranges, mix64, released, slices, word_windows
 
-FIT_ROWS = 4000
+FIT_ROWS, FIT_FEATURES = 4000, 1 << 24
 DIM = 1 << 18
 MIN_DOCS = 3
 ALPHA, COST, EPOCHS, BLEND = 1.0, 1.0, 12, 0.9
@@ -42,12 +43,22 @@ def shapes(w: Words) -> np.ndarray:
     keep = np.ones(len(kind), bool)
     keep[1:] = kind[1:] != kind[:-1]
     keep[w.start] = True
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return range_hash(prefix_hash(kind[keep], BYTE_HASH), before[w.start], before[w.end])
+    at = np.flatnonzero(keep)
+    return hash_ranges(kind[at], np.searchsorted(at, w.start), np.searchsorted(at, w.end))
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Distinct row * DIM + feature, sorted."""
+def features(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
+    """Distinct row * DIM + feature, sorted; a single row of more than `most` bytes is read in stretches."""
+    if len(offs) == 2 and offs[1] - offs[0] > most:
+        out = np.zeros(0, np.int64)
+        for k, (a, b) in enumerate(word_windows(data, int(offs[0]), int(offs[1]), most, 4)):
+            out = np.union1d(out, _features(data, np.array([a, b]), k > 0))
+        return out
+    return _features(data, offs, False)
+
+
+def _features(data: np.ndarray, offs: np.ndarray, goes_on: bool) -> np.ndarray:
+    """goes_on: the first word stands behind others, so whether it repeats one is told in the stretch before."""
     w = Words(data, offs)
     h, s, row = w.hashes(), shapes(w), w.rows()
     if not len(h):
@@ -60,6 +71,8 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     again = np.zeros(len(h), U64)
     again[1:] = (h[1:] == h[:-1]) & pair
     four = triple[:-1] & pair[2:] if len(h) > 3 else np.zeros(0, bool)
+    if goes_on and len(four):
+        four[0] = False
     parts = [
         (h ^ _SALT[0], row),
         ((h[:-1] * U64(3) + h[1:] ^ _SALT[1])[pair], row[:-1][pair]),
@@ -161,58 +174,73 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
-    """Fit on at most `most` labelled documents, none of them held out."""
+def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_features: int = FIT_FEATURES) -> Model:
+    """Fit on at most `most` labelled documents and `most_features` indicators of theirs, none of them held out.
+
+    An id that repeats is fitted with its row of the smallest hash of the text;
+    labels without id or quality, and labels of no document, are left out. Without
+    any the model scores 0.5.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")  # at most `most` rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
-            ids, q = batch.column("doc_id").to_numpy(), batch.column("quality").to_numpy(zero_copy_only=False)
             for lo, hi in slices(offs):
                 keys = features(data, offs[lo : hi + 1])
                 cut = np.searchsorted(keys, np.arange(hi - lo + 1) * DIM)
                 feats = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((keys % DIM).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(q[lo:hi].astype(np.int32)), feats], ["doc_id", "quality", "f"])
-
-    got = texts.mapInArrow(extract, "doc_id long, quality int, f array<int>").toArrow()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "quality", "h")), feats], ["doc_id", "quality", "h", "f"])
+
+    rows = texts.withColumn("quality", F.col("quality").cast("int")).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(released(extract), "doc_id long, quality int, h long, f array<int>")
+    rows = store.written(rows.groupBy("doc_id").agg(F.min_by("quality", "h").alias("quality"), F.min_by("f", "h").alias("f")), "quality-fit")
+    taken, held = [], 0
+    for r in rows.select("doc_id", F.size("f").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most `most` rows
+        held += r["n"]
+        if held > most_features:
+            break
+        taken.append((r["doc_id"],))
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    got = rows.join(F.broadcast(few), "doc_id").toArrow()  # at most `most` rows, `most_features` features
     ids = got["doc_id"].to_numpy()
-    rows = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in got["f"].combine_chunks()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(rows[i]), rows[i].tobytes()))[:most]
-    return fit([rows[i] for i in order], got["quality"].to_numpy()[order] if len(ids) else np.zeros(0))
+    feats = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in got["f"].combine_chunks()]
+    order = np.argsort(ids)
+    return fit([feats[i] for i in order.tolist()], got["quality"].to_numpy()[order] if len(ids) else np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id and score of every row; with keep, all columns and last the score, under a name that is free.
 
-    Null and empty texts get the score of a text without features. Repeated
-    rows get equal scores. Columns of any other name pass through.
+    Null and empty texts get the score of a text without features; a text of any
+    length is read in stretches. Repeated rows get equal scores. Columns of any
+    other name pass through, and only texts and scores pass Python. An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
     live = np.flatnonzero(model.weight)
-    sent = spark.sparkContext.broadcast((live, model.weight[live], model.bias, model.slope, model.offset))  # at most DIM weights
-    rows = docs if keep else docs.select("doc_id", "text")
+    sent = docs.sparkSession.sparkContext.broadcast((live, model.weight[live], model.bias, model.slope, model.offset))  # at most DIM weights
     out = "score"
     while keep and out in docs.columns:
         out += "_"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, *rest = sent.value
-        weight = np.zeros(DIM)
-        weight[at] = w
-        m = Model(weight, *rest)
-        for batch in batches:
-            data, offs = buffers(batch.column("text"))
-            got = np.zeros(batch.num_rows)
-            for lo, hi in slices(offs, SLICE_BYTES // 2):
-                got[lo:hi] = m.score(m.margins(features(data, offs[lo : hi + 1]), hi - lo))
-            cols = batch.columns if keep else [batch.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(got)], [*(batch.schema.names if keep else ["doc_id"]), out])
-
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in (rows.schema if keep else rows.select("doc_id").schema))
-    return rows.mapInArrow(score, f"{fields}, {out} double")
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(cols):
+            at, w, *rest = sent.value
+            weight = np.zeros(DIM)
+            weight[at] = w
+            m = Model(weight, *rest)
+            for col in cols:
+                data, offs = buffers(col)
+                got = np.zeros(len(col))
+                for lo, hi in slices(offs, SLICE_BYTES // 2):
+                    got[lo:hi] = m.score(m.margins(features(data, offs[lo : hi + 1]), hi - lo))
+                yield pa.array(got)
+
+        return released(run)(texts)
+
+    return docs.select(*(F.col(f"`{c}`") for c in (docs.columns if keep else ["doc_id"])), score(F.col("text")).alias(out))
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
