@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import graph, store
-from loomstone.llm.kernels import U64, Words, buffers, mix64, shingles, slices
+from loomstone.llm.kernels import SLICE_BYTES, U64, Words, buffers, mix64, released, shingles, slices, word_windows
 from loomstone.llm.sieve import sifted
 
 SKETCH = 1 << 20
@@ -42,19 +42,20 @@ FEW, ROUNDS = 2, 2
 HOT_CLASS, HOT_WAYS = 8 * 14, 64
 #: The similarity, 8/10, as a ratio of whole numbers.
 UP, DOWN = 4, 5
-KEY_BYTES = 6
-#: Rows of a few numbers each (8 MB) up to which a table is broadcast.
-FEW_ROWS = 200_000
-#: Distinct sets for each task of the steps that hold far fewer rows than tokens.
-TASK_SETS = 20_000
+#: Rows of a token, and partners of a set, for each task that they are dealt to.
+TOKEN_ROWS, PARTNERS = 1000, 200
+#: What sets the second signature apart from the first.
+PROOF = 1 << 32
 
 
 def _gram_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram hashes of 56 bits, sorted and distinct in each row; first[r])."""
+    """(gram hashes, sorted and distinct in each row; first[r]); a single long row is read in stretches."""
+    if len(offs) == 2 and offs[1] - offs[0] > SLICE_BYTES:
+        parts = [np.unique(shingles(Words(data, np.array(w)))[0]) for w in word_windows(data, int(offs[0]), int(offs[1]))]
+        h = np.unique(np.concatenate(parts))
+        return h, np.array([0, len(h)])
     h, row = shingles(Words(data, offs))
-    h >>= U64(8)
-    first = np.searchsorted(row, np.arange(len(offs)))
-    return _distinct(h, first)
+    return _distinct(h, np.searchsorted(row, np.arange(len(offs))))
 
 
 def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +68,9 @@ def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
-def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    c = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(h + U64(1)))])
+def _signatures(h: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """A sum over each row's grams that no order of them changes."""
+    c = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(h + U64(2 * salt + 1)))])
     return mix64(c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
@@ -76,17 +78,19 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & U64(SKETCH - 1)).astype(np.int64)
 
 
-SETS = "kind int, doc_id long, n long, sig long, bands array<long>, part int, counts binary"
+SETS = "kind int, doc_id long, key long, n long, sig long, proof long, bands array<long>, part int, counts binary"
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """Written rows of two kinds: 0 a document's set (n, sig, bands), 1 a part of a task's sketch of gram counts."""
+def survey(docs: DataFrame, salt: int) -> DataFrame:
+    """Written rows of two kinds: 0 a document's set (n, sig, proof, bands), 1 a part of a task's sketch of gram counts.
+
+    sig and proof are signatures that know nothing of each other; key is a hash of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             data, offs = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
             for lo, hi in slices(offs):
                 h, first = _gram_sets(data, offs[lo : hi + 1])
                 n, rows = np.diff(first), hi - lo
@@ -94,16 +98,16 @@ def survey(docs: DataFrame) -> DataFrame:
                 band = np.repeat(np.arange(rows), n) * BANDS + (h >> U64(20) & U64(BANDS - 1)).astype(np.int64)
                 odd = (np.bincount(band, minlength=rows * BANDS) & 1).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * WORDS), pa.array(np.packbits(odd).view(np.int64)))
-                cols = [pa.array(np.zeros(rows, np.int32)), ids.slice(lo, rows), pa.array(n), pa.array(_signatures(h, first)), lists, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                own = [batch.column(c).slice(lo, rows) for c in ("doc_id", "key")]
+                cols = [pa.array(np.zeros(rows, np.int32)), *own, pa.array(n), pa.array(_signatures(h, first, salt)), pa.array(_signatures(h, first, salt + PROOF)), lists, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
         if total.any():
             k = SKETCH // PART
-            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(k, PART)], pa.binary())]
+            cols = [pa.array(np.ones(k, np.int32)), *[pa.nulls(k, pa.int64())] * 5, pa.nulls(k, pa.list_(pa.int64())), pa.array(np.arange(k, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(k, PART)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["kind", "doc_id", "n", "sig", "bands", "part", "counts"]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store.written(ids.mapInArrow(run, SETS), "gram-survey")
+    names = [x.split()[0] for x in SETS.split(", ")]
+    return store.written(docs.mapInArrow(released(run), SETS), "gram-survey")
 
 
 def classes(surveyed: DataFrame) -> np.ndarray:
@@ -120,14 +124,14 @@ def classes(surveyed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["part", "counts"])
 
     parts = surveyed.where("kind = 1").select("part", "counts")
-    got = parts.repartition(min(SKETCH // PART, store.partitions(surveyed.sparkSession)), "part").mapInArrow(add, "part int, counts binary").collect()  # SKETCH bytes
+    got = parts.repartition(min(SKETCH // PART, store.partitions(surveyed.sparkSession)), "part").mapInArrow(released(add), "part int, counts binary").collect()  # SKETCH bytes
     out = np.zeros((SKETCH // PART, PART), np.uint8)
     for r in got:
         out[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, table: np.ndarray, salt: int) -> DataFrame:
     """token, sig, n, pos: the prefix tokens of each set, once per task for sets that repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # SKETCH bytes
 
@@ -138,7 +142,7 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
             data, offs = buffers(batch.column("text"))
             for lo, hi in slices(offs):
                 h, first = _gram_sets(data, offs[lo : hi + 1])
-                sig, n = _signatures(h, first), np.diff(first)
+                sig, n = _signatures(h, first, salt), np.diff(first)
                 new = np.zeros(len(n), bool)
                 for i, s in enumerate(sig.tolist()):
                     if n[i] and s not in seen:
@@ -146,20 +150,19 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                         new[i] = True
                 if len(seen) > 1_000_000:
                     seen.clear()
-                tok = h | (cls[_bucket(h)].astype(U64) << U64(56))
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    if b - a > 1:
-                        tok[a:b].sort()
                 rows = np.flatnonzero(new)
                 k = n[rows] - -(-UP * n[rows] // DOWN) + 1
+                kind, tok = cls[_bucket(h)], []
+                for a, b, m in zip(first[:-1][rows].tolist(), first[1:][rows].tolist(), k.tolist(), strict=True):
+                    by = a + np.argsort(kind[a:b], kind="stable")[:m]  # by class, then by hash, in all sets alike
+                    tok.append(h[by] >> U64(8) | kind[by].astype(U64) << U64(56))
                 pos = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                at = np.repeat(first[:-1][rows], k) + pos
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tok[at].view(np.int64)), pa.array(np.repeat(sig[rows], k)), pa.array(np.repeat(n[rows], k)), pa.array(pos.astype(np.int32))],
+                    [pa.array(np.concatenate([np.zeros(0, U64), *tok]).view(np.int64)), pa.array(np.repeat(sig[rows], k)), pa.array(np.repeat(n[rows], k)), pa.array(pos.astype(np.int32))],
                     ["token", "sig", "n", "pos"],
                 )
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "token long, sig long, n long, pos int")
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(released(run), "token long, sig long, n long, pos int")
 
 
 def _may_link(n: str, pos: str, other: str, other_pos: str):
@@ -176,72 +179,61 @@ def _alike(a: str, b: str):
     return (both - apart) * (UP + DOWN) >= both * (2 * UP)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has at most FEW_ROWS rows; else as it is, to be joined by shuffles."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
-
-
 def _linked_so_far(vertices: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     """vertices with root, the smallest vid of their component."""
     roots = graph.components(links, tag).withColumnRenamed("id", "vid")
     return vertices.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
 
 
-def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, tasks: int) -> DataFrame:
-    """The pairs (sa, na, sb, nb) that link, as a and b (each vertex's smallest doc_id).
+PAIR = ["sa", "na", "sb", "nb"]
 
-    The suffix filter comes first. The full sets of the vertices left are taken
-    from their texts once; each pair carries its b's set to the tasks of its a's,
-    where the two are compared.
+
+def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, salt: int) -> DataFrame:
+    """The pairs (sa, na, sb, nb, and whether b is the hub) that link, as a and b (each vertex's smallest doc_id).
+
+    The suffix filter comes first. Of each pair the other set's text is sent to
+    the hub's, a set with many partners standing in several places; there both
+    are cut into grams again, and the whole sets are compared.
     """
-    va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("vid").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
-    pairs = small(pairs)
+    va, vb = (vertices.select(F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.struct("vid", "key").alias(x), F.col("bands").alias(f"f{x}")) for x in "ab")
     alike = pairs.join(va, ["sa", "na"]).join(vb, ["sb", "nb"]).where(_alike("fa", "fb"))
-    alike = store.written(alike.select("sa", "sb", "a", "b").distinct().coalesce(tasks), f"{tag}-pairs")
-    wanted = alike.select(F.col("sa").alias("sig"), F.col("a").alias("doc_id")).unionByName(alike.select(F.col("sb").alias("sig"), F.col("b").alias("doc_id"))).distinct()
+    this, that = (F.struct(F.col(f"s{x}").alias("sig"), F.col(f"{x}.vid").alias("doc_id"), F.col(f"{x}.key").alias("key")) for x in "ab")
+    alike = alike.select(F.when(F.col("hub"), that).otherwise(this).alias("hub"), F.when(F.col("hub"), this).otherwise(that).alias("leaf"))
+    alike = store.written(alike.select(F.col("hub.sig").alias("at"), "hub", "leaf"), f"{tag}-pairs")
+    ways = alike.groupBy("at").agg(F.ceil(F.count("*") / PARTNERS).alias("ways"))
+    dealt = alike.join(ways, "at").withColumn("way", F.pmod(F.xxhash64("leaf.sig"), F.col("ways")).cast("int"))
+    sends = dealt.select("at", "way", "leaf.*", F.lit(1).alias("role")).unionByName(dealt.select("at", "way", "hub.*", F.lit(0).alias("role")).distinct())
+    sends = store.written(sends, f"{tag}-sends")
+    texts = sifted(docs, sends).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    rows = texts.join(sends, ["doc_id", "key"]).repartition("at", "way").sortWithinPartitions("at", "way", "role")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hub, mine = None, 0, np.zeros(0, U64)
         for batch in batches:
             data, offs = buffers(batch.column("text"))
-            sig = batch.column("sig").to_numpy()
+            at, way, role, sig, doc = (batch.column(c).to_pylist() for c in ("at", "way", "role", "sig", "doc_id"))
+            got = []
             for lo, hi in slices(offs):
                 h, first = _gram_sets(data, offs[lo : hi + 1])
-                own = np.flatnonzero(_signatures(h, first) == sig[lo:hi])  # a doc_id may stand for several texts
-                blob = [h[first[i] : first[i + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[lo:hi][own]), pa.array(blob, pa.binary())], ["sig", "grams"])
-
-    texts = sifted(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("doc_id", "sig", "text")
-    full = store.written(texts.mapInArrow(sets, "sig long, grams binary").dropDuplicates(["sig"]).coalesce(tasks), f"{tag}-sets")
-    asked = alike.join(full.withColumnRenamed("sig", "sb"), "sb").select("sa", "sb", "a", "b", "grams")
-    none = F.lit(None).cast("long")
-    rows = full.select(F.col("sig").alias("sa"), none.alias("sb"), none.alias("a"), none.alias("b"), "grams").join(alike.select("sa"), "sa", "left_semi").unionByName(asked)
-    n = store.partitions(docs.sparkSession)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = None, np.zeros(0, U64)
-
-        def grams(blob: bytes) -> np.ndarray:
-            out = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
-            out[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
-            return out.view("<u8")[:, 0]
-
-        for batch in batches:
-            got = []
-            for sa, sb, a, b, blob in zip(*(batch.column(i) for i in range(5)), strict=True):
-                sa, g = sa.as_py(), grams(blob.as_py())
-                if not sb.is_valid:
-                    held, mine = sa, g
-                    continue
-                if held != sa:
-                    raise ValueError("a pair came without its first set")
-                both = np.concatenate([mine, g])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if same * (UP + DOWN) >= UP * len(both):
-                    got.append((a.as_py(), b.as_py()))
+                known = _signatures(h, first, salt).tolist()
+                for i in range(lo, hi):
+                    if known[i - lo] != sig[i]:
+                        raise ValueError("two texts of one id and one hash")
+                    g = h[first[i - lo] : first[i - lo + 1]]
+                    if not role[i]:
+                        held, hub, mine = (at[i], way[i]), doc[i], g.copy()
+                        continue
+                    if held != (at[i], way[i]):
+                        raise ValueError("a pair came without its hub")
+                    place = np.searchsorted(mine, g)
+                    same = int((mine[np.minimum(place, len(mine) - 1)] == g).sum())
+                    if same * (UP + DOWN) >= UP * (len(mine) + len(g)):
+                        got.append((hub, doc[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
-    return store.written(rows.repartition(n, "sa").sortWithinPartitions("sa", F.col("sb").asc_nulls_first()).coalesce(tasks).mapInArrow(compare, "a long, b long"), f"{tag}-links")
+    links = store.written(rows.mapInArrow(released(compare), "a long, b long"), f"{tag}-links")
+    store.dropped(alike, sends)
+    return links
 
 
 def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
@@ -252,62 +244,75 @@ def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
 
 
 def _pairs(stars: DataFrame) -> DataFrame:
-    """Distinct (sa, na, sb, nb), na at most nb, of rows and their picked sets that pass the filters."""
+    """Distinct (sa, na, sb, nb, hub), na at most nb, of rows and their picked sets that pass the filters; hub: the picked set is b."""
     this, that = (F.struct(F.col(f"n{x}").alias("n"), F.col(f"sig{x}").alias("sig"), F.col(f"pos{x}").alias("pos")) for x in ("", "0"))
-    both = stars.select(F.least(this, that).alias("a"), F.greatest(this, that).alias("b"))
-    both = both.select(*(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("n", "sig", "pos"))).where(_may_link("na", "posa", "nb", "posb"))
-    return both.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct()
+    both = stars.select(F.least(this, that).alias("a"), F.greatest(this, that).alias("b"), (that > this).alias("hub"))
+    both = both.select(*(F.col(f"{x}.{c}").alias(f"{c}{x}") for x in "ab" for c in ("n", "sig", "pos")), "hub").where(_may_link("na", "posa", "nb", "posb"))
+    return both.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb", "hub").groupBy(*PAIR).agg(F.max("hub").alias("hub"))
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, salt: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     A row without words, or with a null text, has no grams and is its own
     component; so is a row with a null id, whose component is null. Rows of one
     text share a component; rows of one id count as one document. Ties cannot
-    arise: a component is named by its smallest id.
+    arise: a component is named by its smallest id. A text of any length is read
+    in stretches. An empty table gives no rows; other columns are not read.
+
+    Sets are told apart by 128 bits, grams by 64: where sets of one signature
+    differ in the other, all is done again with another salt.
     """
-    surveyed = survey(docs)
-    members = surveyed.where("kind = 0").select("doc_id", "n", "sig", "bands")
-    vertices = members.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("vid"), F.first("bands").alias("bands"))
-    vertices = store.written(vertices, "gram-vertices")
-    tasks = max(2, -(-vertices.count() // TASK_SETS))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    surveyed = survey(docs, salt)
+    members = surveyed.where("kind = 0").select("doc_id", "key", "n", "sig", "proof", "bands")
+    first = F.min(F.struct("doc_id", "key"))
+    vertices = members.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(first.alias("first"), F.first("bands").alias("bands"), F.min("proof").alias("low"), F.max("proof").alias("high"))
+    vertices = store.written(vertices.select("sig", "n", F.col("first.doc_id").alias("vid"), F.col("first.key").alias("key"), "bands", "low", "high"), "gram-vertices")
+    if vertices.where("low <> high").limit(1).count():
+        return linked(docs, salt + 1)
     # Rows of a very frequent token are dealt to HOT_WAYS tasks; what doesn't meet there meets in later rounds.
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
-    stars = _starred(prefixes(docs, classes(surveyed)), 0, F.when(hot, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0))
+    stars = _starred(prefixes(docs, classes(surveyed), salt), 0, F.when(hot, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0))
     met = stars.where((F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | hot))
     met = store.written(met.select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
-    pairs = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))).coalesce(tasks), "gram-star")
-    first_links = verified(pairs, vertices, docs, "star", tasks)
-    links, tested, open_, before = first_links, pairs, None, None
+    tested = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))), "gram-star")
+    links = verified(tested, vertices, docs, "star", salt)
+    open_, before = met, None
     for turn in range(ROUNDS + 1):
         # A set's label: a hash of its component's root, or its own signature while it has no link.
         known = graph.components(links, "star-components")
         known = known.unionByName(known.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("id", "vid")
-        known = store.written(vertices.select("sig", "n", "vid").join(small(store.written(known, "star-roots")), "vid").select("sig", "n", F.xxhash64("root").alias("label")), "star-labels")
-        rows = (met if open_ is None else open_).select("token", "sig", "n", "pos").join(small(known), ["sig", "n"], "left")
+        known = vertices.select("sig", "n", "vid").join(known, "vid").select("sig", "n", F.xxhash64("root").alias("label"))
+        rows = open_.select("token", "sig", "n", "pos").join(known, ["sig", "n"], "left")
         rows = rows.withColumn("root", F.coalesce("label", "sig")).drop("label")
         share = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("k"))
         across = (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2
         share = share.groupBy("token").agg(across.alias("across"), F.sum("k").alias("k"))
         # Two sets under a token have met already, unless the token was dealt out.
-        share = share.where((F.col("across") > 0) & ((F.col("k") > 2) | (F.shiftrightunsigned("token", 56) >= HOT_CLASS))).select("token", "across")
-        open_ = store.written(rows.join(share, "token").coalesce(tasks), "gram-open")
+        dealt = (F.shiftrightunsigned("token", 56) >= HOT_CLASS) | (F.col("k") > TOKEN_ROWS)
+        share = share.where((F.col("across") > 0) & ((F.col("k") > 2) | dealt)).select("token", "across", F.ceil(F.col("k") / TOKEN_ROWS).cast("int").alias("ways"))
+        last, open_ = open_, store.written(rows.join(share, "token"), "gram-open")
+        store.dropped(last)
         size = open_.groupBy("token").agg(F.first("across").alias("x"), F.count("*").alias("n")).agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
         ways = size["x"] or 0.0
         if turn == ROUNDS or ways <= FEW * (size["n"] or 0) or (before is not None and ways > 0.9 * before):
             break
         before = ways
-        star = _pairs(_starred(open_, turn + 1, F.lit(0), "root").where("root <> root0")).join(tested, ["sa", "na", "sb", "nb"], "left_anti")
-        star = store.written(star.coalesce(tasks), "gram-star")
-        links, tested = links.unionByName(verified(star, vertices, docs, "star", tasks)), tested.unionByName(star)
-    open_ = open_.join(vertices.select("sig", "n", "bands"), ["sig", "n"])
-    one, two = (open_.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
+        way = F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("ways"))
+        star = _pairs(_starred(open_, turn + 1, way, "root").where("root <> root0")).join(tested.select(*PAIR), PAIR, "left_anti")
+        star = store.written(star, "gram-star")
+        links, tested = links.unionByName(verified(star, vertices, docs, "star", salt)), tested.unionByName(star)
+    # What is still open is joined, a frequent token's rows in parts: one side's rows fall into one part, the other's into all.
+    one, two = (open_.join(vertices.select("sig", "n", "bands"), ["sig", "n"]).select("token", "ways", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos", "root", "bands"))) for x in "ab")
+    one = one.withColumn("way", F.pmod(F.xxhash64("siga"), F.col("ways")).cast("int")).drop("ways")
+    two = two.withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
     meets = (F.col("roota") != F.col("rootb")) & (F.struct("na", "siga") < F.struct("nb", "sigb")) & _may_link("na", "posa", "nb", "posb")
-    rest = one.join(two, (one["token"] == two["token"]) & meets & _alike("bandsa", "bandsb"))
-    rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested, ["sa", "na", "sb", "nb"], "left_anti")
-    rest = store.written(rest.coalesce(tasks), "gram-rest")
-    links = links.unionByName(verified(rest, vertices, docs, "across", tasks))
+    rest = one.join(two, (one["token"] == two["token"]) & (one["way"] == two["way"]) & meets & _alike("bandsa", "bandsb"))
+    rest = rest.select(F.col("siga").alias("sa"), "na", F.col("sigb").alias("sb"), "nb").distinct().join(tested.select(*PAIR), PAIR, "left_anti")
+    rest = store.written(rest.withColumn("hub", F.lit(True)), "gram-rest")
+    store.dropped(open_)
+    links = links.unionByName(verified(rest, vertices, docs, "across", salt))
     named = _linked_so_far(vertices, links, "gram-components").select("sig", "n", "root")
     out = members.select("doc_id", "n", "sig").join(named, ["sig", "n"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))

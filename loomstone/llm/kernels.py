@@ -3,13 +3,15 @@
 A column is one byte buffer with row offsets. Words, hashes and shingles of
 thousands of rows are found with a few numpy passes over that buffer, so no
 Python object is made for a word. Rows are handled in slices of about a MB, which
-bounds the memory; one row longer than a slice is a slice of its own.
+bounds the memory; one row longer than a slice is a slice of its own, and is
+handled in overlapping stretches (word_windows, byte_windows).
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-#: Hash value of a byte, of a byte in lower case.
-BYTE_HASH, BYTE_HASH_LOWER = _BYTE, _BYTE[LOWER]
+#: Hash value of a byte.
+BYTE_HASH = _BYTE
 _PLACE = [U64(int(x) * 2 + 1) for x in _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64)]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -42,6 +44,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes up to which strings are hashed eight at a time; longer ones go through BLAKE2b.
+LANES = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number, zeros beyond the end; a view that costs no more than the bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each data[start:end]; equal bytes, equal hash, and no algebra by which unequal ones would meet."""
+    n = (end - start).astype(np.int64)
+    h = mix64(n.astype(U64) + U64((seed * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    if not len(n):
+        return h
+    lane = eights(data)
+    live, at = np.arange(len(n)), 0
+    while True:
+        live = live[(n[live] > at) & (n[live] <= LANES)]
+        if not len(live):
+            break
+        h[live] = mix64(h[live] ^ (lane[start[live] + at] & _MASK[np.minimum(n[live] - at, 8)])) + U64(at + 1)
+        at += 8
+    for i in np.flatnonzero(n > LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
 _power = np.ones(1, U64)
 _inverse = np.ones(1, U64)
 
@@ -120,6 +153,42 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def byte_windows(lo: int, hi: int, most: int, over: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the range, each repeating the last `over` bytes of the one before."""
+    while hi - lo > most + over:
+        yield lo, lo + most + over
+        lo += most
+    yield lo, hi
+
+
+def word_windows(data: np.ndarray, lo: int, hi: int, most: int = SLICE_BYTES, over: int = SHINGLE - 1) -> Iterator[tuple[int, int]]:
+    """Stretches of data[lo:hi] that end at word ends; each but the first repeats the last `over` words of the one before and holds more.
+
+    So a run of over + 1 words lies in one of them; a stretch grows beyond
+    `most` bytes only as far as so many words take.
+    """
+    while hi - lo > most:
+        end = lo
+        while True:
+            end = min(hi, end + most)
+            while end < hi and not SPACE[data[end - 1]]:  # to the end of the word
+                space = np.flatnonzero(SPACE[data[end : end + 4096]])
+                end = end + int(space[0]) + 1 if len(space) else min(hi, end + 4096)
+            word = ~SPACE[data[lo:end]]
+            word[1:] &= SPACE[data[lo : end - 1]]
+            starts = np.flatnonzero(word)
+            if end == hi or len(starts) > over:
+                break
+        after = end
+        while after < hi and SPACE[data[after : after + 4096]].all():
+            after += 4096
+        if after >= hi:
+            break
+        yield lo, end
+        lo = lo + int(starts[-over]) if over else end
+    yield lo, hi
+
+
 class Words:
     """The words of some rows: start, end (byte positions), and first[r], the first word of row r."""
 
@@ -147,8 +216,7 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts)
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        c = prefix_hash(self.data, BYTE_HASH_LOWER if lower else BYTE_HASH)
-        return range_hash(c, self.start, self.end)
+        return hash_ranges(LOWER[self.data] if lower else self.data, self.start, self.end)
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:

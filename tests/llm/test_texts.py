@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, jaccard, licences, quality, registry, store, suffixes, token_ids
+from loomstone.llm import decontaminate, jaccard, kernels, licences, quality, registry, store, suffixes, token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
 
@@ -89,6 +89,79 @@ def test_jaccard_far_from_star(spark, monkeypatch):
         assert all(got[i] == got[j] for i, j in links)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_jaccard_of_words_made_to_collide(spark):
+    """Words on which polynomial hashes modulo a power of two meet are told apart."""
+    rows = []
+    for k, n in enumerate((64, 1024, 4096)):
+        w = thue_morse(n)
+        rows += [(10 * k, w), (10 * k + 1, w.translate(str.maketrans("ab", "ba"))), (10 * k + 2, w.upper()), (10 * k + 3, f"x {w} y"), (10 * k + 4, f"x {w.translate(str.maketrans('ab', 'ba'))} y")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(frame(spark, rows)).collect()}
+    assert got == {i: (1, i - 2 if i % 10 == 2 else i) for i, _ in rows}
+
+
+def test_jaccard_signatures_that_meet(spark, monkeypatch):
+    """Two sets of one signature are seen by their proofs, and all is done with another salt."""
+    real = jaccard._signatures
+    monkeypatch.setattr(jaccard, "_signatures", lambda h, first, salt: real(h, first, salt) if salt != 0 else np.diff(first) * 0)
+    rows = [(1, "a b c d e"), (2, "f g h i j"), (3, "A b c d e"), (4, None)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize(("rows_a_task", "hot"), [(1000, 8 * 14), (20, 8 * 14), (20, 0)])
+def test_jaccard_family_below_the_threshold(spark, monkeypatch, rows_a_task, hot):
+    """Hundreds of sets under one rare token that resemble each other, few of which link; dealt to few and to many tasks."""
+    for name, value in (("TOKEN_ROWS", rows_a_task), ("PARTNERS", max(1, rows_a_task // 10)), ("HOT_CLASS", hot)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(11)
+    core = [f"c{i}" for i in range(180)]
+    rows = [(i, " ".join([*core, *(f"t{i}x{k}" for k in range(24))])) for i in range(240)]
+    for i in range(240, 300):
+        near = rnd.randrange(240)
+        w = rows[near][1].split()
+        w[-1] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(frame(spark, rows)).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 200 < len(set(got.values())) < 300
+
+
+def test_gram_sets_of_a_long_text(monkeypatch):
+    rnd = random.Random(13)
+    text = " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rnd.randrange(9)) for _ in range(6000)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    want = jaccard._gram_sets(data, offs)
+    for size in (64, 1000, 30_000):
+        monkeypatch.setattr(kernels, "SLICE_BYTES", size)
+        monkeypatch.setattr(jaccard, "SLICE_BYTES", size)
+        monkeypatch.setattr(jaccard, "word_windows", lambda d, a, b, m=size: kernels.word_windows(d, a, b, m))
+        assert all(np.array_equal(x, y) for x, y in zip(jaccard._gram_sets(data, offs), want, strict=True))
+        assert np.array_equal(quality.features(data, offs, size), quality.features(data, offs, 1 << 30))
+    for odd in (b"x" * 5000, b" " * 3000, b"a b " + b" " * 4000 + b"c", b"a" * 3000 + b" b c d e f" + b" " * 500):
+        one = jaccard._gram_sets(np.frombuffer(odd, np.uint8), np.array([0, len(odd)]))
+        w = kernels.Words(np.frombuffer(odd, np.uint8), np.array([0, len(odd)]))
+        assert np.array_equal(one[0], np.unique(kernels.shingles(w)[0]))
+
+
 def removed_by_force(rows):
     out, by_id = [], {}
     for i, t in rows:
