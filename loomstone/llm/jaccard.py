@@ -240,7 +240,7 @@ def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
     """rows with the fields of the set that each token picks in this turn, suffixed 0, and whether others stand beside."""
     by = Window.partitionBy("token", way).orderBy(F.xxhash64("sig", "token", F.lit(turn)), "n", "sig")
     first = by.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("*", *(F.first(c).over(first).alias(f"{c}0") for c in ("sig", "n", "pos", *more)), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"))
+    return rows.select("*", *(F.first(c).over(first).alias(f"{c}0") for c in ("sig", "n", "pos", *more)), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"), F.count("*").over(Window.partitionBy("token", way)).alias("k"))
 
 
 def _pairs(stars: DataFrame) -> DataFrame:
@@ -275,10 +275,10 @@ def linked(docs: DataFrame, salt: int = 0) -> DataFrame:
     hot = F.shiftrightunsigned("token", 56) >= HOT_CLASS
     stars = _starred(prefixes(docs, classes(surveyed), salt), 0, F.when(hot, F.pmod("sig", F.lit(HOT_WAYS))).otherwise(0))
     met = stars.where((F.col("before").isNull() | (F.col("before") != F.col("sig"))) & (F.col("before").isNotNull() | F.col("after").isNotNull() | hot))
-    met = store.written(met.select("token", "sig", "n", "pos", "sig0", "n0", "pos0"), "gram-tokens")
+    met = store.written(met.select("token", "sig", "n", "pos", "sig0", "n0", "pos0", ((F.col("k") > 2) | hot).alias("more")), "gram-tokens")
     tested = store.written(_pairs(met.where(F.col("sig") != F.col("sig0"))), "gram-star")
     links = verified(tested, vertices, docs, "star", salt)
-    open_, before = met, None
+    open_, before = met.where("more"), None  # the two sets of a token that no other has are tested
     for turn in range(ROUNDS + 1):
         # A set's label: a hash of its component's root, or its own signature while it has no link.
         known = graph.components(links, "star-components")
@@ -292,7 +292,7 @@ def linked(docs: DataFrame, salt: int = 0) -> DataFrame:
         # Two sets under a token have met already, unless the token was dealt out.
         dealt = (F.shiftrightunsigned("token", 56) >= HOT_CLASS) | (F.col("k") > TOKEN_ROWS)
         share = share.where((F.col("across") > 0) & ((F.col("k") > 2) | dealt)).select("token", "across", F.ceil(F.col("k") / TOKEN_ROWS).cast("int").alias("ways"))
-        last, open_ = open_, store.written(rows.join(share, "token"), "gram-open")
+        last, open_ = (open_ if turn else met), store.written(rows.join(share, "token"), "gram-open")
         store.dropped(last)
         size = open_.groupBy("token").agg(F.first("across").alias("x"), F.count("*").alias("n")).agg(F.sum("x").alias("x"), F.sum("n").alias("n")).first()
         ways = size["x"] or 0.0
