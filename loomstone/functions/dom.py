@@ -25,10 +25,12 @@ class Node:
         self.index = len(parent.kids) if parent else 0
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """All nodes below in document order, to any depth."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
 
 
 class _Builder(HTMLParser):
@@ -39,7 +41,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
         at = self.open
-        while at is not self.root and at.tag not in HOLDS:
+        while ends and at is not self.root and at.tag not in HOLDS:
             if at.tag in ends:
                 self.open = at.parent
             at = at.parent
@@ -154,4 +156,11 @@ def select(top: Node, selector: str) -> list[str]:
 
 
 def text(n: Node) -> str:
-    return "".join(k if isinstance(k, str) else text(k) for k in n.kids)
+    out, todo = [], [n]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+        else:
+            todo += reversed(k.kids)
+    return "".join(out)

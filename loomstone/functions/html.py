@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomstone.functions import dom
 from loomstone.functions.text import _col, present, stripped, without_tags
@@ -15,6 +16,7 @@ CHALLENGE = ("just a moment", "access denied", "checking your browser", "attenti
 CHALLENGE_CHARS = 5000
 #: Status codes worth another try.
 RETRY = (408, 429, 500, 502, 503, 504)
+#: What the image, video and page patterns must match.
 SRCSET = r"""(?s)srcset\s*=\s*(["'])(.*?)\1"""
 SRC = r"""(?s)\bsrc\s*=\s*(["'])(.*?)\1"""
 VIDEO = r"""(?i)[\w:-]+\s*=\s*(["'])([^"']*?\.mp4(?:\?[^"']*)?)\1"""
@@ -116,20 +118,35 @@ def fingerprint(headers, chars: int = 66) -> Column:
     return F.struct(*(F.left(F.try_element_at(_col(headers), F.lit(n)), F.lit(chars)).alias(n.replace("-", "_")) for n in names))
 
 
-def html_extract(spec: dict[str, str]):
-    """A column function: html to STRUCT with an ARRAY<STRING> for each selector of the spec; the page is parsed once."""
-    names = list(spec)
-    schema = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in names])
-    for s in spec.values():
-        dom.compiled(s)
+def redirected(history) -> Column:
+    """Did a response come by way of others? history: the URLs or responses before it; none for a failed fetch."""
+    return F.coalesce(F.size(_col(history)) > 0, F.lit(False))
 
-    @F.pandas_udf(schema)
-    def extract(html: pd.Series) -> pd.DataFrame:
+
+def html_extract(spec: dict[str, str | tuple[str, dict[str, str]]]):
+    """A column function: html to STRUCT with an ARRAY<STRING> for each selector of the spec; the page is parsed once.
+
+    A value that is a pair (selector, spec) gives an ARRAY<STRUCT>: the inner
+    selectors' values inside each element of the outer, in document order.
+    """
+    texts = T.ArrayType(T.StringType())
+    kind = lambda v: texts if isinstance(v, str) else T.ArrayType(T.StructType([T.StructField(n, texts) for n in v[1]]))
+    schema = T.StructType([T.StructField(n, kind(v)) for n, v in spec.items()])
+    for v in spec.values():
+        for s in (v,) if isinstance(v, str) else (v[0], *v[1].values()):
+            dom.compiled(s)
+    arrow = to_arrow_type(schema)
+
+    def one(top: dom.Node, v):
+        return dom.select(top, v) if isinstance(v, str) else [{n: dom.select(x, s) for n, s in v[1].items()} for x in dom.nodes(top, v[0])]
+
+    @F.arrow_udf(schema)
+    def extract(html: pa.Array) -> pa.Array:
         rows = []
-        for h in html:
+        for h in html.to_pylist():
             top = dom.parse(h) if h is not None else None
-            rows.append([dom.select(top, spec[n]) if top is not None else None for n in names])
-        return pd.DataFrame(rows, columns=names, dtype=object)
+            rows.append({n: one(top, v) if top is not None else None for n, v in spec.items()})
+        return pa.array(rows, arrow)
 
     return extract
 
@@ -139,17 +156,6 @@ def html_select(html, selector: str) -> Column:
     return html_extract({"v": selector})(_col(html))["v"]
 
 
-def pods(html, pod: str, spec: dict[str, str]):
+def pods(html, pod: str, spec: dict[str, str]) -> Column:
     """ARRAY<STRUCT>: the selectors' values inside each element that pod selects, in document order."""
-    names = list(spec)
-    inner = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in names])
-
-    @F.udf(T.ArrayType(inner), useArrow=True)
-    def extract(h):
-        if h is None:
-            return None
-        return [tuple(dom.select(n, spec[c]) for c in names) for n in dom.nodes(dom.parse(h), pod)]
-
-    return extract(_col(html))
-
-
+    return html_extract({"v": (pod, spec)})(_col(html))["v"]

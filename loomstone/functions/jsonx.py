@@ -142,6 +142,18 @@ def walk(value, path: str) -> list:
     return now
 
 
+_LENGTH = re.compile(r"^(\$\S*)\s+length\s*==\s*(\d+)$")
+
+
+def length_is(body, rule: str) -> Column:
+    """Does the array at a plain path of a JSON text have the length that a rule like `$.products length == 0` names? False where there is no array."""
+    m = _LENGTH.match(rule)
+    if not m:
+        raise ValueError(f"unsupported rule: {rule}")
+    at = F.try_variant_get(F.try_parse_json(_col(body)), m[1], "array<variant>")
+    return F.coalesce(F.size(at) == int(m[2]), F.lit(False))
+
+
 def _listed(x) -> list:
     return x if isinstance(x, list) else [x]
 
@@ -170,7 +182,7 @@ def json_path(path: str):
             for t in group:
                 try:
                     v = json.loads(t)
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):  # nested deeper than the reader goes: no JSON to us
                     continue
                 docs += v if isinstance(v, list) else [v]
             top = docs if path.startswith("$[") or path.startswith("$..") else (docs[0] if docs else None)

@@ -10,6 +10,7 @@ from loomstone.functions import text as X
 from loomstone.functions.urls import url_join
 from loomstone.sources.io import ITEM, written
 
+# The selectors of the shop's listing and detail pages.
 LISTING_POD = "article.product_pod"
 LISTING = {"href": "h3 a::attr(href)", "name": "h3 a::attr(title)", "anchor": "h3 a::text", "price": ".price_color::text", "availability": ".availability::text", "img": "img::attr(src)"}
 DETAIL = {
@@ -19,11 +20,16 @@ DETAIL = {
 INFO = ("table.table-striped tr", {"k": "th::text", "v": "td::text"})
 
 
+#: Rounds after which the tables of the nodes seen are made one.
+FOLD = 8
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFrame:
     """node, depth of all nodes that links lead to from the seeds; each is visited once, so cycles end.
 
     edges: src, dst. Each round joins the newest nodes with the links and drops
-    those already seen; rounds are written, which keeps the lineage short.
+    those already seen; rounds are written, which keeps the lineage short, and
+    every FOLD rounds what was seen becomes one table, which keeps the plan short.
     """
     seen = written(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
     new, depth = seen, 0
@@ -34,6 +40,8 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFram
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if depth % FOLD == 0:
+            seen = written(seen, "frontier")
     return seen
 
 
@@ -62,8 +70,8 @@ def listing(pages: DataFrame) -> DataFrame:
 
 def detail(pages: DataFrame) -> DataFrame:
     """A row per page: url and the detail page's fields, null where absent."""
-    got = pages.select("url", H.html_extract(DETAIL)("html").alias("d"), H.pods("html", *INFO).alias("rows"))
-    info = F.filter(F.transform("rows", lambda r: F.struct(X.clean_text(r["k"]).alias("k"), X.clean_text(r["v"]).alias("v"))), lambda r: r["k"].isNotNull())
+    got = pages.select("url", H.html_extract({**DETAIL, "rows": INFO})("html").alias("d"))
+    info = F.filter(F.transform("d.rows", lambda r: F.struct(X.clean_text(r["k"]).alias("k"), X.clean_text(r["v"]).alias("v"))), lambda r: r["k"].isNotNull())
     got = got.withColumn("info", info)
     # The last row of a header counts.
     at = lambda name: F.try_element_at(F.filter("info", lambda r: r["k"] == name), F.lit(-1))["v"]

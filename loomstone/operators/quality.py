@@ -14,7 +14,7 @@ def item_key(first: str = "upc", other: str = "product_url") -> Column:
     return F.when(F.col(first).isNotNull() & (F.col(first) != ""), F.col(first)).otherwise(F.col(other))
 
 
-def keep_first(df: DataFrame, key: Column, order: str, ways: int = 1) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """Of the rows of a key the first in order; rows whose key is NULL all stay.
 
     The least row of each key is a plain aggregation, combined before the
@@ -52,6 +52,29 @@ def _tall(row: DataFrame, fields, value: str, *keep: str) -> DataFrame:
     return row.selectExpr(*keep, "items", f"stack({len(fields)}, {pairs}) as (field, {value})").select(*keep, "field", value, "items")
 
 
+def plausible_price(price, low: float, high: float) -> Column:
+    """Is a price a number above 0 and within the bounds?"""
+    p = F.col(price) if isinstance(price, str) else price
+    return F.coalesce(p.isNotNull() & ~F.isnan(p.cast("double")) & (p > 0) & p.between(low, high), F.lit(False))
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule, violations, items, failed: how many items break each rule; a rule that is NULL for an item is broken."""
+    row = df.agg(F.count("*").alias("items"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
+    return _tall(row, list(rules), "violations").select(F.col("field").alias("rule"), "violations", "items", (F.col("violations") > 0).alias("failed"))
+
+
+def expected_sizes(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """rule, violations, items, failed for fields that a config calls `required` or of which it expects `min_expected` elements."""
+    by = {}
+    for name, rule in rules.items():
+        many = df.schema[name].dataType.typeName() == "array"
+        least = max(int(rule.get("min_expected", 0)), int(bool(rule.get("required"))))
+        if least:
+            by[name] = F.size(name) >= least if many else ~missing(df.schema[name])
+    return violations(df, by)
+
+
 def coverage_by(df: DataFrame, group: str, fields) -> DataFrame:
     """group, field, share: how much of each group has the field."""
     row = df.groupBy(group).agg(F.count("*").alias("items"), *(F.avg((~missing(f)).cast("double")).alias(f.name) for f in _fields(df, fields)))

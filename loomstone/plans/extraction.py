@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import html as H
 from loomstone.functions import jsonx as J
 from loomstone.functions import text as X
+from loomstone.functions.urls import url_join_all
 from loomstone.operators import quality
 
 LISTS = frozenset({"images", "videos"})
@@ -85,7 +86,7 @@ class Plan:
             if step == "deduplicate":
                 values = F.array_distinct(values)
             elif step == "absolutize":
-                values = F.transform(values, lambda x: F.when(x.rlike("^[a-z][a-z0-9+.-]*:"), x).when(F.startswith(x, F.lit("//")), F.concat(F.lit("https:"), x)).otherwise(_joined(F.col("url"), x)))
+                values = url_join_all("url", values)
             else:
                 one = {"strip": X.stripped, "collapse_whitespace": X.collapsed, "strip_html_tags": X.without_tags, "strip_query_string": X.without_query}[step]
                 values = _each(values, one)
@@ -189,6 +190,10 @@ class Plan:
         flat = items.withColumns({f: F.when(F.size(f) > 0, F.lit("x")) for f in fields if items.schema[f].dataType.typeName() == "array"})
         return quality.coverage(flat, fields)
 
+    def expectations(self, items: DataFrame) -> DataFrame:
+        """rule, violations, items, failed for the fields that are `required` or have a `min_expected`."""
+        return quality.expected_sizes(items, {n: r for n, r in self.config["extraction"].items() if n in items.columns and ("required" in r or "min_expected" in r)})
+
     def run_gate(self, items: DataFrame) -> DataFrame:
         rule = self.config["validation"]["run"]
         return quality.run_gate(items, rule["expected_item_count"], rule["fail_if_below_ratio"])
@@ -202,13 +207,6 @@ def _unlike(values: Column, pattern: str) -> Column:
     return F.filter(values, lambda x: ~x.rlike(pattern))
 
 
-def _joined(base: Column, rel: Column) -> Column:
-    """A rooted or plain reference on the page's host, in native form; for elements of arrays."""
-    host = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return F.when(F.startswith(rel, F.lit("/")), F.concat(host, rel)).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), rel))
-
-
 def load(path: str) -> Plan:
     import yaml
 

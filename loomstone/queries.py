@@ -16,7 +16,7 @@ from loomstone.functions import jsonx as J
 from loomstone.functions import text as X
 from loomstone.functions import urls as U
 from loomstone.operators import crawl, quality
-from loomstone.plans.extraction import Plan
+from loomstone.plans.extraction import Plan, with_companion
 from loomstone.sources import io
 from loomstone.streaming import dedup
 
@@ -98,9 +98,9 @@ def html_select_links(spark, d):
     return t(spark, d, "pages").select("page_id", got.alias("v")).select("page_id", F.array_join("v", " ").alias("hrefs"), F.size("v").cast("long").alias("n"))
 
 
-@query(r"""select page_id, case when starts_with(h, '/') then regexp_extract(url, '^(https?://[^/]*)', 1) || h else h end as joined from (select page_id, url, regexp_extract(html, '<a href="([^"]*)">', 1) as h from pages where html like '%<a href="/%')""")
+@query(r"""select page_id, case when h = '' then url when starts_with(h, '/') then regexp_extract(url, '^(https?://[^/]*)', 1) || h else h end as joined from (select page_id, url, regexp_extract(html, '<a href="([^"]*)">', 1) as h from pages)""")
 def url_resolved(spark, d):
-    p = t(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", '<a href="([^"]*)">', 1).alias("h"), F.col("html").contains('<a href="/').alias("has")).where("has")
+    p = t(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", '<a href="([^"]*)">', 1).alias("h"))
     return p.select("page_id", U.url_join("url", "h").alias("joined"))
 
 
@@ -128,10 +128,10 @@ def largest_image(spark, d):
     return t(spark, d, "part").select("p_partkey", H.largest_image(html).alias("image"))
 
 
-@query(r"""with c as (select doc_id, trim(case when ends_with(x, '...more') then left(x, length(x) - 7) else x end, E' \t\n\r\f\v') as b from (select doc_id, case when doc_id % 2 = 0 then left(text, 60) || ' ' || text || '...more' else text end as x from documents where text is not null)), p as (select doc_id, b, instr(substr(b, 2), left(b, 40)) as k from c) select doc_id, md5(coalesce(nullif(trim(case when b <> '' and k > 0 then substr(b, k + 1) else b end, E' \t\n\r\f\v'), ''), '-')) as digest from p""")
+@query(r"""with c as (select doc_id, trim(case when ends_with(x, '...more') then left(x, length(x) - 7) else x end, E' \t\n\r\f\v') as b from (select doc_id, case when doc_id % 2 = 0 then left(text, 60) || ' ' || text || '...more' else text end as x from documents)), p as (select doc_id, b, instr(substr(b, 2), left(b, 40)) as k from c) select doc_id, md5(coalesce(nullif(trim(case when b <> '' and k > 0 then substr(b, k + 1) else b end, E' \t\n\r\f\v'), ''), '-')) as digest from p""")
 def strip_preview(spark, d):
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.left("text", F.lit(60)), F.lit(" "), F.col("text"), F.lit("...more"))).otherwise(F.col("text"))
-    return t(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.coalesce(X.strip_preview(raw), F.lit("-"))).alias("digest"))
+    return t(spark, d, "documents").select("doc_id", F.md5(F.coalesce(X.strip_preview(raw), F.lit("-"))).alias("digest"))
 
 
 @query("""select p_partkey, case when p_partkey % 4 < 3 then 'https://v/' || p_partkey || case when p_partkey % 4 = 1 then '.MP4?sig=1' else '.mp4' end end as video from part""")
@@ -396,16 +396,6 @@ def availability_any(spark, d):
 # --- traversal, merging, sources and sinks ------------------------------------------
 
 
-@query("""with recursive r(node, depth) as (select o_orderkey, 0 from orders where o_orderkey = (select min(o_orderkey) from orders) union all select nxt, depth + 1 from r join (select o_orderkey, lead(o_orderkey, 120) over (order by o_orderkey) as nxt from (select distinct o_orderkey from orders where o_orderkey < 800)) e on e.o_orderkey = r.node where nxt is not null and depth < 100) select node, depth from r""")
-def frontier_reach(spark, d):
-    from pyspark.sql import Window
-
-    o = t(spark, d, "orders").select("o_orderkey")
-    small = o.where("o_orderkey < 800").distinct()
-    edges = small.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey", 120).over(Window.orderBy("o_orderkey")).alias("dst"))  # under 800 rows
-    return crawl.reach(edges, o.agg(F.min("o_orderkey").alias("node")))
-
-
 @query("""with recursive e as (select distinct 'o' || l_orderkey as o, 'p' || l_partkey as p from lineitem where l_orderkey is not null and l_partkey is not null), b as (select o as src, p as dst from e union all select p, o from e), r(node, depth) using key (node) as (select 'o' || min(o_orderkey), 0 from orders union select b.dst, min(r.depth) + 1 from r join b on b.src = r.node left join recurring.r k on k.node = b.dst where k.node is null group by 1) select node, depth::int as depth from r""")
 def frontier_reach_all(spark, d):
     """All that the first order leads to where every order links to its parts and every part to its orders."""
@@ -486,8 +476,7 @@ def fixed_schema_export(spark, d):
     p = t(spark, d, "part").select(F.concat(F.lit("u"), k).alias("upc"), F.when(k % 3 > 0, F.col("p_name")).alias("title"), F.col("p_retailprice").alias("price"), F.when(k % 2 == 0, "GBP").alias("currency"), F.lit(1).alias("extra"))
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomstone-shared"
-    path = f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
+    path = f"{io.shared(spark)}/export-{uuid.uuid4().hex}"
     io.export(p, path)
     return io.read_items(spark, path)
 
@@ -496,8 +485,7 @@ def fixed_schema_export(spark, d):
 def stream_dedup(spark, d):
     import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomstone-shared").rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{io.shared(spark)}/stream-{uuid.uuid4().hex}"
     # A stream of a path that is one file needs it as a pattern.
     stream = spark.readStream.schema("event_type string, event_id long").parquet(f"{d}/events.parque[t]")
     dedup.run_once(dedup.first_seen(stream, F.col("event_type"), "event_id"), f"{path}/out", f"{path}/state")
@@ -505,6 +493,167 @@ def stream_dedup(spark, d):
     return kept.where("event_type is not null").select("event_type", F.col("event_id").alias("first_id"))
 
 
+# --- faults, rules and reports -------------------------------------------------------
+
+
+@query("""with p as (select r_name as source, n_nationkey::bigint as page, n_name from nation join region on n_regionkey = r_regionkey), s as (select source, min(page) as stop from p where page in (12, 20) group by 1) select p.source, page, i::int as pos, n_name || i as item from p left join s using (source), (values (0), (1)) v(i) where page not in (1, 6, 7, 12, 20) and (stop is null or page < stop)""")
+def paged_endpoint_gaps(spark, d):
+    """Pages that failed or broke off stand between good ones and stop nothing."""
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("n_nationkey")
+    body = F.when(k.isin(12, 20), '{"products":[]}').when(k == 7, '{"products":').when(~k.isin(1, 6), F.concat(F.lit('{"products":["'), "n_name", F.lit('0","'), "n_name", F.lit('1"]}')))
+    return io.paged_items(n.select(F.col("r_name").alias("source"), k.cast("long").alias("page"), body.alias("body")))
+
+
+@query("""select p_partkey, case p_partkey % 6 when 0 then 'https://www.shop.example.com/products/x.jpg' when 1 then 'https://www.shop.example.com/products/a/p' || p_partkey || '?q=1' when 2 then 'https://www.shop.example.com/r.jpg' when 3 then 'https://www.shop.example.com/products/a/p.png' when 4 then 'https://c/a.jpg' else 'http://d/e.jpg' end as main_image from part""")
+def absolutized_images(spark, d):
+    k = F.col("p_partkey")
+    plan = Plan({"extraction": {"images": {"sources": [{"type": "css", "selector": "img", "get": "attr:src"}], "post_process": ["absolutize"]}}})
+    src = F.element_at(F.array(*map(F.lit, ("../x.jpg", "?q=1", "/r.jpg", "p.png", "//c/a.jpg", "http://d/e.jpg"))), (k % 6 + 1).cast("int"))
+    pages = t(spark, d, "part").select("p_partkey", F.concat(F.lit(SITE + "/products/a/p"), k, F.lit("?v=1")).alias("url"), F.concat(F.lit('<p><img src="'), src, F.lit('">')).alias("html"))
+    return plan.apply(pages).select("p_partkey", "main_image")
+
+
+@query("""select n_nationkey, '/x' || n_nationkey as href, 'end ' || n_name as heading from nation""")
+def deep_page(spark, d):
+    """Pages of five thousand tags inside one another."""
+    html = F.concat(F.repeat(F.lit("<b>"), F.lit(5000)), F.lit('<a href="/x'), "n_nationkey", F.lit('">a</a><h1>end <i>'), "n_name", F.lit("</i></h1>"))
+    got = t(spark, d, "nation").select("n_nationkey", H.html_extract({"a": "b a::attr(href)", "h": "h1"})(html).alias("e"))
+    return got.select("n_nationkey", F.get("e.a", F.lit(0)).alias("href"), F.get("e.h", F.lit(0)).alias("heading"))
+
+
+@query(_URL_SQL + r""", r as (select p_partkey, url, case when p_partkey % 8 = 2 then regexp_extract(url, '/p/([a-z0-9-]+)/', 1) when contains(url, '/g/') then coalesce(nullif(regexp_extract(url, '[?;&]brand=([^&#]+)', 1), ''), regexp_extract(url, '/g/(?:[a-z0-9-]+/)*([a-z0-9-]+)\?', 1)) end as raw from u) select p_partkey, case p_partkey % 8 when 0 then 'catalog, titles' when 1 then 'catalog, titles' when 2 then 'product, titles' when 3 then 'search' when 4 then 'images' when 5 then 'videos' when 6 then 'catalog, titles' else '(no match)' end as matched, coalesce(list_aggregate(list_transform(regexp_extract_all(replace(replace(raw, '-', ' '), '+', ' '), '[a-zA-Z]+|[^a-zA-Z]+'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ''), case when p_partkey % 8 = 3 then replace(split_part(split_part(url, '=', 2), '%', 1), '+', ' ') || '=' end) as title from r""")
+def url_report(spark, d):
+    return _urls(spark, d).select("p_partkey", RULES.report("url").alias("r")).select("p_partkey", "r.matched", "r.title")
+
+
+@query(_URL_SQL + r"""select p_partkey, case p_partkey % 8 when 0 then 'cat' || p_size when 1 then 'dept' || p_size when 2 then 'ppr' || p_partkey when 3 then replace(p_name, ' ', '+') || '%3D' when 4 then 'DP' || p_partkey || 'M' when 5 then '91A_V-' || p_partkey when 6 then 'cat' || p_size end as id from u join part using (p_partkey)""")
+def url_primary(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("catalog", "catalog", "product", "search", "images", "videos", "catalog", "search"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return _urls(spark, d).select("p_partkey", RULES.primary(kind, "url").alias("id"))
+
+
+@query("""select p_partkey, p_partkey % 3 = 0 as unknown from part""")
+def unknown_kind(spark, d):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "basket").when(F.col("p_partkey") % 3 == 1, "any").otherwise("titles")
+    return t(spark, d, "part").select("p_partkey", U.unknown_kinds(kind).alias("unknown"))
+
+
+@query("""select p_partkey, case when p_partkey % 2 = 0 then p_name when p_partkey % 3 > 0 then p_type end as expected from part""")
+def expected_title(spark, d):
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    url = F.concat(F.lit("https://h/"), k).alias("url")
+    links = p.select("p_partkey", url, F.when(k % 3 > 0, F.col("p_type")).alias("annotation"))
+    listed = p.where(k % 2 == 0)
+    listed = listed.select(url, F.col("p_name").alias("title")).unionByName(listed.select(url, F.concat("p_name", F.lit(" (2)")).alias("title")))
+    return U.expected_titles(links, listed).select("p_partkey", "expected")
+
+
+@query("""with r as (select p_partkey % 10 > 1 and p_retailprice <= 1500 as price, p_partkey % 4 > 0 as absolute, p_partkey % 7 > 0 as domain from part) select 'price' as rule, count(*) filter (where not price) as violations, count(*) as items, violations > 0 as failed from r union all select 'absolute', count(*) filter (where not absolute) as v, count(*), v > 0 from r union all select 'domain', count(*) filter (where not domain) as v, count(*), v > 0 from r union all select 'positive', 0, count(*), false from r""")
+def value_rules(spark, d):
+    k = F.col("p_partkey")
+    price = F.when(k % 10 == 0, F.lit(None)).when(k % 10 == 1, -F.col("p_retailprice")).otherwise(F.col("p_retailprice")).cast("double")
+    url = F.concat(F.when(k % 4 == 0, "http://").otherwise("https://"), F.when(k % 7 == 0, "shop.example.com.evil.example").otherwise("www.shop.example.com"), F.lit("/p/"), k)
+    p = t(spark, d, "part").select(price.alias("price"), url.alias("url"), F.col("p_size"))
+    return quality.violations(p, {"price": quality.plausible_price("price", 0, 1500), "absolute": U.absolute("url"), "domain": U.allowed("url", "shop.example.com"), "positive": F.col("p_size") > 0})
+
+
+@query("""select 'absolute' as rule, count(*) filter (where not starts_with(url, 'https://')) as violations, count(*) as items, violations > 0 as failed from pages""")
+def absolute_urls(spark, d):
+    return quality.violations(t(spark, d, "pages"), {"absolute": U.absolute("url")})
+
+
+@query("""select 'title' as rule, count(*) filter (where p_partkey % 4 = 0) as violations, count(*) as items, violations > 0 as failed from part union all select 'images', count(*) filter (where p_partkey % 3 < 2) as v, count(*), v > 0 from part""")
+def config_expectations(spark, d):
+    k = F.col("p_partkey")
+    source = [{"type": "css", "selector": "h1", "get": "text"}]
+    plan = Plan({"extraction": {"title": {"sources": source, "required": True}, "images": {"sources": source, "min_expected": 2}, "price": {"sources": source}}})
+    items = t(spark, d, "part").select(F.when(k % 4 > 0, F.col("p_name")).otherwise("").alias("title"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 3).cast("int")).alias("images"), F.lit(1.0).alias("price"))
+    return plan.expectations(items)
+
+
+@query("""select p_partkey, p_partkey % 3 = 1 as redirected, p_partkey % 4 > 0 as valid from part""")
+def redirects(spark, d):
+    k = F.col("p_partkey")
+    plan = Plan({"extraction": {}, "validation": {"response": {"expect_status": [200], "reject_if_redirected_to": "^https://www.shop.example.com/collections/"}}})
+    history = F.when(k % 3 == 1, F.array(F.lit(SITE + "/old"))).when(k % 3 == 0, F.array().cast("array<string>"))
+    url = F.concat(F.lit(SITE + "/products/"), k)
+    pages = t(spark, d, "part").select("p_partkey", url.alias("url"), F.when(k % 4 == 0, SITE + "/collections/all").otherwise(url).alias("final_url"), F.lit(200).alias("status"), F.lit("<h1>x").alias("html"), history.alias("history"))
+    return plan.valid_response(pages).select("p_partkey", H.redirected("history").alias("redirected"), "valid")
+
+
+@query("""select p_partkey, p_partkey % 4 in (1, 2) and p_partkey % 5 < 2 as again from part""")
+def retry_again(spark, d):
+    k = F.col("p_partkey")
+    status = F.element_at(F.array(*map(F.lit, (200, 429, 503, 404))), (k % 4 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", io.FetchSettings.of({"retries": 2, "timeout": 5.0}).again(status, k % 5 + 1).alias("again"))
+
+
+@query("""select least(count(*), 100)::bigint as items from part""")
+def limited_run(spark, d):
+    return io.limited(t(spark, d, "part"), 100).agg(F.count("*").alias("items"))
+
+
+@query("""select p_partkey, case when p_partkey % 2 = 0 then 'product' || p_size end as page_type, left(p_name, 66) as server, case when p_partkey % 3 = 0 then 's' || p_partkey end as shop from part""")
+def response_headers(spark, d):
+    k = F.col("p_partkey")
+    timing = F.when(k % 2 == 0, F.concat(F.lit('db;dur=3, pageType;desc="product'), "p_size", F.lit('"'))).otherwise("db;dur=3")
+    headers = F.map_filter(F.create_map(F.lit("server-timing"), timing, F.lit("server"), F.col("p_name"), F.lit("x-shopid"), F.when(k % 3 == 0, F.concat(F.lit("s"), k))), lambda _, v: v.isNotNull())
+    h = t(spark, d, "part").select("p_partkey", headers.alias("h")).select("p_partkey", H.server_page_type("h").alias("page_type"), H.fingerprint("h").alias("f"))
+    return h.select("p_partkey", "page_type", "f.server", F.col("f.x_shopid").alias("shop"))
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'l' || p_partkey || '.jpg' when 1 then 's.jpg' end as source, p_partkey % 4 < 2 as hydration from part""")
+def page_guards(spark, d):
+    k = F.col("p_partkey")
+    html = F.when(k % 3 == 0, F.concat(F.lit('<img src="blank.gif" data-src="l'), k, F.lit('.jpg">'))).when(k % 3 == 1, "<img src='s.jpg'>").otherwise("<img>")
+    anchors = F.slice(F.array(*map(F.lit, "abc")), F.lit(1), (k % 4).cast("int"))
+    return t(spark, d, "part").select("p_partkey", H.sources_of_images(html).alias("source"), H.hydration_suspected(anchors, F.array(*map(F.lit, "wxyz"))).alias("hydration"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then p_name end as title from part""")
+def product_response(spark, d):
+    k = F.col("p_partkey")
+    body = F.when(k % 3 == 2, "{}").otherwise(F.concat(F.lit('{"product":{"title":"'), "p_name", F.lit('"}}')))
+    return t(spark, d, "part").select("p_partkey", J.scalar_at(J.product_of(body, F.when(k % 3 == 1, 404).otherwise(200)), "$.title").alias("title"))
+
+
+@query("""select p_partkey, case when p_partkey % 3 < 2 then '{"a":{"b":"}\\\\""},' || p_size || '}' end as object from part""".replace("\\\\", "\\"))
+def balanced_objects(spark, d):
+    k = F.col("p_partkey")
+    text = F.concat("p_name", F.lit('{"a":{"b":"}\\""},'), F.col("p_size"), F.when(k % 3 < 2, "} } rest {").otherwise(" never"))
+    return t(spark, d, "part").select("p_partkey", J.balanced_object(text, F.length("p_name")).alias("object"))
+
+
+@query("""select p_partkey, case when p_partkey % 4 = 0 then 'a' || p_partkey end as body from part""")
+def companion_body(spark, d):
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    plan = Plan({"url_patterns": {"product": [r"^https://h/products/(?P<handle>[a-z0-9-]+)$"]}, "extraction": {}})
+    pages = p.select("p_partkey", F.concat(F.lit("https://h/products/p"), k).alias("url"))
+    answers = p.where(k % 2 == 0).select(F.concat(F.lit("p"), k).alias("handle"), F.when(k % 4 == 0, 200).otherwise(500).alias("status"), F.explode(F.array(F.concat(F.lit("b"), k), F.concat(F.lit("a"), k))).alias("body"))
+    return with_companion(pages, answers, "body", plan).select("p_partkey", "body")
+
+
+@query("""select p_name as title, p_retailprice as price, 'u' || p_partkey as upc from part""")
+def csv_export(spark, d):
+    return _exported(spark, t(spark, d, "part"), "csv").select("title", "price", "upc")
+
+
+@query("""select p_name as title, p_retailprice as price, 'u' || p_partkey as upc from part""")
+def gated_items(spark, d):
+    return _exported(spark, t(spark, d, "part"), "parquet").select("title", "price", "upc")
+
+
+def _exported(spark, part, kind):
+    import uuid
+
+    path = f"{io.shared(spark)}/export-{uuid.uuid4().hex}"
+    items = part.select(F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.concat(F.lit("u"), "p_partkey").alias("upc"))
+    if not io.gated_export(items, path, lambda got: [quality.run_gate(got, 1)], kind):
+        raise ValueError("the gate failed")
+    return spark.read.parquet(path) if kind == "parquet" else spark.read.schema(io.ITEM).option("header", "true").option("escape", '"').csv(path)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The per-page report: title, heading, links, challenge flag, class."""
     p = t(spark, d, "pages")

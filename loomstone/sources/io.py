@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstone.functions.html import RETRY
+from loomstone.functions.jsonx import length_is
 from loomstone.functions.text import present
 
 #: The item's fields in export order; the one place that declares them.
@@ -20,11 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of this machine only in a local session that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "loomstone-shared")
+    return base.rstrip("/")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet in the shared folder of spark.checkpoint.dir and read again."""
+    """df, written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "loomstone-shared")
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,14 +115,55 @@ def newer(entries: DataFrame, than) -> DataFrame:
     return entries.where(F.col("lastmod") > F.lit(than))
 
 
-def paged_items(responses: DataFrame) -> DataFrame:
-    """source, page, pos, item: items of stored pages (source, page, body), up to each source's first page without items."""
-    items = responses.select("source", "page", F.from_json("body", "products array<string>")["products"].alias("items"))
-    empty = items.where(F.coalesce(F.size("items"), F.lit(0)) <= 0).groupBy("source").agg(F.min("page").alias("stop"))
-    live = items.join(empty, "source", "left").where(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
+def paged_items(responses: DataFrame, stop_when: str = "$.products length == 0") -> DataFrame:
+    """source, page, pos, item: items of stored pages (source, page, body), up to each source's first page that says stop.
+
+    A page that is null or can't be read has no items and stops nothing: the
+    pages after it count.
+    """
+    items = responses.select("source", "page", F.from_json("body", "products array<string>")["products"].alias("items"), length_is("body", stop_when).alias("last"))
+    stop = items.where("last").groupBy("source").agg(F.min("page").alias("stop"))
+    live = items.join(stop, "source", "left").where(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
     return live.select("source", "page", F.posexplode("items").alias("pos", "item"))
 
 
+def limited(items: DataFrame, most: int) -> DataFrame:
+    """At most so many items, any of them, as a crawl that stops by count."""
+    return items.limit(most)
+
+
+@dataclass(frozen=True)
+class FetchSettings:
+    """How stored pages were, or are to be, fetched; read from a config, nothing here fetches."""
+
+    user_agent: str = ""
+    obey_robots: bool = True
+    timeout: float = 30.0
+    delay: float = 0.25
+    concurrency: int = 8
+    autothrottle: bool = True
+    retries: int = 3
+    retry_statuses: tuple[int, ...] = RETRY
+    item_limit: int | None = None
+
+    @classmethod
+    def of(cls, config: dict) -> FetchSettings:
+        """The settings that a config names; others keep their defaults, unknown names raise."""
+        unknown = set(config) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in config.items()})
+
+    def again(self, status: Column, tries: Column) -> Column:
+        """Is a response worth another try?"""
+        return F.coalesce(status.isin(*self.retry_statuses) & (tries <= self.retries), F.lit(False))
+
+
+def throttled(spark: SparkSession, path: str, schema: str, files: int) -> DataFrame:
+    """A stream of stored pages that takes in at most so many files at a time, as slow readers need it."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 # --- sinks ------------------------------------------------------------------
 
 def items(df: DataFrame, schema: T.StructType = ITEM) -> DataFrame:
