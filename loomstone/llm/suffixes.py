@@ -6,13 +6,19 @@ run of windows with one anchor is a segment. Anchors that two documents hold
 are found by hash (only they can matter); the segments of those anchors are
 dealt out by anchor. There a suffix array of the segments is built by two-stage
 sorting: only suffixes smaller than their successors are sorted directly, the
-rest are induced by scanning the buckets of first bytes. Adjacent suffixes with
-50 bytes in common form classes, and every window of a class is repeated in all
-documents of the class but the smallest.
+rest are induced by scanning the buckets of first bytes. The common prefixes of
+adjacent suffixes are computed; suffixes with 50 bytes in common form classes,
+and every window of a class is repeated in all documents of the class but the
+smallest.
 
 Texts that are equal as a whole are settled first, by digest; segments that are
 equal within one slice of rows or one bucket are settled by their smallest id,
-so no frequent passage gathers all its places in one task.
+so no frequent passage gathers all its places in one task. Segments meet by a
+hash and are then compared; should two differ under one hash, the task fails
+rather than take one for the other.
+
+Entries of a slice are packed by bucket, as arrays with offsets: the work
+follows the entries, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import store
-from loomstone.llm.kernels import BYTE_HASH, U64, buffers, mix64, powers, prefix_hash, range_hash, slices
+from loomstone.llm.kernels import BYTE_HASH, U64, buffers, byte_windows, eights, hash_ranges, mix64, powers, prefix_hash, released, slices
 from loomstone.llm.sieve import sifted
 
 SPAN, GRAM = 50, 20
@@ -36,6 +42,8 @@ BUCKET_ANCHORS, BUCKET_BYTES = 800_000, 1_500_000
 DEPTH, SYMBOLS = 8, 7
 #: Text bytes handled at once; equal anchors and segments inside are settled there.
 SLICE = 2 << 20
+#: Tasks that the copies of one text are dealt to.
+COPY_WAYS = 16
 
 
 # --- suffix array ---------------------------------------------------------
@@ -145,20 +153,29 @@ def repeats(text: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.nda
     out = np.zeros(len(text), bool)
     if not len(at):
         return out
-    eight = text[: len(text) - 7].astype(U64)
-    for j in range(1, 8):
-        eight = eight | text[j : len(text) - 7 + j].astype(U64) << U64(8 * j)
-    same = np.ones(len(at) - 1, bool)  # do neighbours have SPAN bytes in common?
-    for j in (*range(0, SPAN - 8, 8), SPAN - 8):
-        e = eight[at + j]
-        same &= e[1:] == e[:-1]
-    begin = np.flatnonzero(np.concatenate([[True], ~same]))
+    begin = np.flatnonzero(np.concatenate([[True], common_prefixes(text, at) < SPAN]))
     own = np.repeat(owner, size)[at]
     least = np.minimum.reduceat(own, begin)
     out[at] = own > np.repeat(least, np.diff(np.append(begin, len(at))))
     return out
 
 
+def common_prefixes(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes in common of the texts at neighbouring places, SPAN at most; SPAN bytes follow each place."""
+    out, on = np.zeros(len(at) - 1, np.int64), np.ones(len(at) - 1, bool)
+    lane = eights(text)
+    for j in range(0, SPAN, 8):
+        e = lane[at + j]
+        apart = e[1:] ^ e[:-1]
+        if SPAN - j < 8:
+            apart &= U64((1 << 8 * (SPAN - j)) - 1)
+        low = apart & (~apart + U64(1))  # the lowest bit that differs tells the byte
+        n = np.where(apart == 0, min(8, SPAN - j), np.bitwise_count(low - U64(1)).astype(np.int64) // 8)
+        out += np.where(on, n, 0)
+        on &= apart == 0
+    return out
+
+
 # --- anchors --------------------------------------------------------------
 
 class Runs:
@@ -204,15 +221,39 @@ class Runs:
         self.p1, self.p2, self.row, self.hash = self.p1[mask], self.p2[mask], self.row[mask], self.hash[mask]
 
 
-def _cells(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by bucket, first[b] in that order)."""
-    b = (values % U64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+def _cells(buckets: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bucket and then by the others, the buckets that occur, their first places and the end)."""
+    order = np.lexsort((*then[::-1], buckets))
+    which, first = np.unique(buckets[order], return_index=True)
+    return order, which, np.append(first, len(order))
+
 
+def _packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """values[cut[i]:cut[i + 1]] as the bytes of row i."""
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * values.itemsize).astype(np.int32)), pa.py_buffer(raw)])
 
-def _blobs(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(a).tobytes() for a in arrays]
+
+def _stretches(offs: np.ndarray):
+    """(first row, end row, bounds of their bytes, bytes of the row before them): rows by slices, a long row in overlapping parts."""
+    for lo, hi in slices(offs, SLICE):
+        if hi - lo == 1 and offs[hi] - offs[lo] > SLICE:
+            for a, b in byte_windows(int(offs[lo]), int(offs[hi]), SLICE, SPAN - 1):
+                yield lo, hi, np.array([a, b]), a - int(offs[lo])
+        else:
+            yield lo, hi, offs[lo : hi + 1], 0
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+    """Are data[a:a + n] and data[b:b + n] the same for all?"""
+    lane = eights(data)
+    for j in range(0, int(n.max(initial=0)), 8):
+        on = n > j
+        apart = lane[a[on] + j] ^ lane[b[on] + j]
+        left = np.minimum(n[on] - j, 8).astype(U64)
+        if (apart << ((U64(8) - left) * U64(8))).any():
+            return False
+    return True
 
 
 # --- Spark ----------------------------------------------------------------
@@ -227,8 +268,8 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in KEYS)
-            for lo, hi in slices(offs, SLICE):
-                r = Runs(data, offs[lo : hi + 1])
+            for lo, hi, bounds, _ in _stretches(offs):
+                r = Runs(data, bounds)
                 own = np.lexsort((ids[lo:hi], keys[lo:hi]))  # of equal texts the smallest id speaks
                 k = keys[lo:hi][own]
                 first = np.zeros(hi - lo, bool)
@@ -239,6 +280,8 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 h, row = h[new], row[new]
+                if not len(h):
+                    continue
                 head = np.ones(len(h), bool)
                 head[1:] = h[1:] != h[:-1]
                 begin = np.flatnonzero(head)
@@ -246,16 +289,13 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
                 many = np.repeat(size > 1, size)
                 # An anchor of several rows here is shared for certain; its first row alone goes on to meet other slices,
                 # with word of the others: a slice that holds but a copy of that row must learn of them.
-                out = [(-1, *_blobs(h[many], ids[lo:hi][row[many]], keys[lo:hi][row[many]]), b"")] if many.any() else []
+                if many.any():
+                    got = (h[many], ids[lo:hi][row[many]], keys[lo:hi][row[many]])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(_packed(x, np.array([0, len(x)])) for x in got), pa.array([b""], pa.binary())], names)
                 h, row, more = h[head], row[head], (size > 1).astype(np.uint8)
-                by, cut = _cells(h, buckets)
-                for b in range(buckets):
-                    s = by[cut[b] : cut[b + 1]]
-                    if len(s):
-                        s = s[np.argsort(row[s], kind="stable")]
-                        out.append((b, *_blobs(h[s], ids[lo:hi][row[s]], keys[lo:hi][row[s]], more[s])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "h", "d", "k", "more"])
+                by, which, cut = _cells((h % U64(buckets)).astype(np.int32), row)
+                got = (h[by], ids[lo:hi][row[by]], keys[lo:hi][row[by]], more[by])
+                yield pa.RecordBatch.from_arrays([pa.array(which), *(_packed(x, cut) for x in got)], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (h, d, k, more) in _gathered(batches, (U64, np.int64, np.int64, np.uint8)):
@@ -275,8 +315,8 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
             raw = h[order].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(d[order][begin]), pa.array(k[order][begin]), pa.array([raw[8 * x : 8 * y] for x, y in zip(begin.tolist(), ends.tolist(), strict=True)], pa.binary())], [*KEYS, "hashes"])
 
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    rows = base.mapInArrow(emit, "bucket int, h binary, d binary, k binary, more binary")
+    names = ["bucket", "h", "d", "k", "more"]
+    rows = base.mapInArrow(released(emit), "bucket int, h binary, d binary, k binary, more binary")
     return _per_text(rows, meet, "h", gather, "doc_id long, key long, hashes binary")
 
 
@@ -284,9 +324,8 @@ def _parted(parts: int, d: np.ndarray, k: np.ndarray, *more: np.ndarray) -> Iter
     """Values of texts (d, k) packed into a row for each part of the texts, so that rows don't multiply with buckets."""
     if not len(d):
         return
-    order, cut = _cells(mix64(d.view(U64) ^ mix64(k.view(U64))), parts)
-    out = [(p, *_blobs(*(x[order[cut[p] : cut[p + 1]]] for x in (d, k, *more)))) for p in np.flatnonzero(np.diff(cut)).tolist()]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out, strict=True))], ["part", "d", "k", *"xy"[: len(more)]])
+    order, which, cut = _cells((mix64(d.view(U64) ^ mix64(k.view(U64))) % U64(parts)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(which), *(_packed(x[order], cut) for x in (d, k, *more))], ["part", "d", "k", *"xy"[: len(more)]])
 
 
 def _by_text(d: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,9 +340,9 @@ def _per_text(rows: DataFrame, meet, more: str, gather, schema: str) -> DataFram
     """Rows by bucket, met in their buckets, then gathered to a row per text."""
     n = store.partitions(rows.sparkSession)
     packed = "part int, d binary, k binary" + "".join(f", {c} binary" for c in "xy"[: len(more)])
-    met = rows.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, packed)
-    local = rows.where("bucket < 0").mapInArrow(meet, packed)
-    return met.unionByName(local).repartition(n, "part").sortWithinPartitions("part").mapInArrow(gather, schema)
+    met = rows.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(meet), packed)
+    local = rows.where("bucket < 0").mapInArrow(released(meet), packed)
+    return met.unionByName(local).repartition(n, "part").sortWithinPartitions("part").mapInArrow(released(gather), schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -315,14 +354,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple
         return now, [np.frombuffer(b"".join(x), k) for x, k in zip(held, kinds, strict=True)]
 
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for i, b in enumerate(cols[0]):
+        bucket = batch.column(0).to_numpy()
+        cols = [buffers(c) for c in batch.columns[1:]]
+        # The rows of a bucket stand together, and so do their bytes.
+        cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), (bucket[1:] != bucket[:-1]) | (bucket[1:] < 0)]))
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+            b = int(bucket[a])
             if now is not None and (b != now or b < 0):
                 yield joined()
                 held = [[] for _ in kinds]
             now = b
-            for x, c in zip(held, cols[1:], strict=True):
-                x.append(c[i])
+            for x, (data, offs) in zip(held, cols, strict=True):
+                x.append(data[offs[a] : offs[z]].tobytes())
     if now is not None:
         yield joined()
 
@@ -338,8 +381,8 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
             data, offs = buffers(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in KEYS)
             hashes = batch.column("hashes")
-            for lo, hi in slices(offs, SLICE):
-                r = Runs(data, offs[lo : hi + 1])
+            for lo, hi, bounds, before in _stretches(offs):
+                r = Runs(data, bounds)
                 mask = np.zeros(len(r.p1), bool)
                 cut = np.searchsorted(r.row, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
@@ -350,33 +393,37 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
                 if not len(r.p1):
                     continue
                 end = r.p2 + SPAN
-                seg = range_hash(r.c, r.p1, end)
-                doc = ids[lo:hi][r.row]
+                seg = hash_ranges(r.data, r.p1, end)
+                doc, key, rel = ids[lo:hi][r.row], keys[lo:hi][r.row], r.offs[r.row] - before
                 order = np.lexsort((doc, seg))
                 s, d = seg[order], doc[order]
                 begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 size = np.diff(np.append(begin, len(s)))
-                least = np.repeat(d[begin], size)
+                one = np.repeat(order[begin], size)
+                n = end - r.p1
+                if (n[order] != n[one]).any() or not _same_bytes(r.data, r.p1[order], r.p1[one], n[order]):
+                    raise ValueError("two segments of one hash")
                 # A segment that a smaller id of this slice holds is repeated as a whole; the others meet elsewhere.
                 gone = np.zeros(len(seg), bool)
-                gone[order] = d > least
-                rel = r.offs[r.row]
-                out = []
+                gone[order] = d > np.repeat(d[begin], size)
                 if gone.any():
                     i = np.flatnonzero(gone)
-                    out.append((-1, b"", b"", b"", *_blobs(doc[i], keys[lo:hi][r.row[i]], r.p1[i] - rel[i], end[i] - rel[i]), b""))
+                    got = {"doc": doc[i], "k": key[i], "lo": r.p1[i] - rel[i], "hi": end[i] - rel[i]}
+                    cols = [_packed(got[c], np.array([0, len(i)])) if c in got else pa.array([b""], pa.binary()) for c in names[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *cols], names)
                 i = np.flatnonzero(~gone)
-                by, cut = _cells(r.hash[i], buckets)
-                for b in range(buckets):
-                    j = i[by[cut[b] : cut[b + 1]]]
-                    if not len(j):
-                        continue
-                    u, one, which = np.unique(seg[j], return_index=True, return_inverse=True)
-                    one = j[one]
-                    n = end[one] - r.p1[one]
-                    text = r.data[np.repeat(r.p1[one] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-                    out.append((b, *_blobs(u, n, text), *_blobs(doc[j], keys[lo:hi][r.row[j]], r.p1[j] - rel[j], end[j] - rel[j], seg[j])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                by, which, cut = _cells((r.hash[i] % U64(buckets)).astype(np.int32), seg[i])
+                j = i[by]
+                head = np.ones(len(j), bool)  # the first place of each segment, whose text goes along
+                head[1:] = seg[j[1:]] != seg[j[:-1]]
+                head[cut[:-1]] = True
+                first = j[head]
+                m = n[first]
+                text = r.data[np.repeat(r.p1[first] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))]
+                ends = np.concatenate([[0], np.cumsum(head)])[cut]  # segments before each bucket
+                chars = np.concatenate([[0], np.cumsum(m)])[ends]
+                cols = [_packed(seg[first], ends), _packed(m, ends), _packed(text, chars), *(_packed(x, cut) for x in (doc[j], key[j], r.p1[j] - rel[j], end[j] - rel[j], seg[j]))]
+                yield pa.RecordBatch.from_arrays([pa.array(which), *cols], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (u, n, text, doc, key, lo, hi, seg) in _gathered(batches, (U64, np.int64, np.uint8, np.int64, np.int64, np.int64, np.int64, U64)):
@@ -384,7 +431,9 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
                 yield from _parted(buckets, doc, key, lo, hi)
                 continue
             start = np.cumsum(n) - n
-            u, one = np.unique(u, return_index=True)
+            u, one, back = np.unique(u, return_index=True, return_inverse=True)
+            if (n != n[one][back]).any() or not _same_bytes(text, start, start[one][back], n):
+                raise ValueError("two segments of one hash")
             n, start = n[one], start[one]
             text = text[np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
             start = np.cumsum(n) - n
@@ -416,9 +465,8 @@ def repeated_runs(candidates: DataFrame, buckets: int) -> DataFrame:
             blobs = [merged(pairs[x:y]).tobytes() for x, y in zip(begin.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(d[order][begin]), pa.array(k[order][begin]), pa.array(blobs, pa.binary())], [*KEYS, "spans"])
 
-    kinds = [pa.int32(), *[pa.binary()] * 8]
     names = ["bucket", "u", "n", "text", "doc", "k", "lo", "hi", "seg"]
-    rows = candidates.mapInArrow(emit, "bucket int, u binary, n binary, text binary, doc binary, k binary, lo binary, hi binary, seg binary")
+    rows = candidates.mapInArrow(released(emit), "bucket int, u binary, n binary, text binary, doc binary, k binary, lo binary, hi binary, seg binary")
     return _per_text(rows, meet, "xy", gather, "doc_id long, key long, spans binary")
 
 
@@ -440,7 +488,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A null text is an empty one. Rows that share an id count as one document:
     none takes from the other, and only rows of smaller ids take from them. A
     row with a null id keeps all its bytes and takes from none. Texts shorter
-    than SPAN bytes are never touched. An empty table gives no rows.
+    than SPAN bytes are never touched, and texts of any length are read in parts.
+    Ties cannot arise. An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -450,7 +499,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     digest = store.written(digest, "text-digests")
     total = digest.agg(F.sum("n")).first()[0] or 0
     lead = digest.groupBy("sha").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("sha", "lead")
-    copies = store.written(digest.join(lead, "sha").where("doc_id > lead").select("doc_id", "key").distinct(), "text-copies")
+    way = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_WAYS))
+    lead = lead.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_WAYS - 1).cast("long"))))
+    copies = store.written(digest.withColumn("way", way).join(lead, ["sha", "way"]).where("doc_id > lead").select("doc_id", "key").distinct(), "text-copies")
     parts = store.partitions(docs.sparkSession)
     anchors = shared_anchors(long, max(parts, int(total * 2 / (WINDOW + 1) / BUCKET_ANCHORS)))
     wanted = store.written(anchors, "text-anchors")
@@ -477,7 +528,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], [x.split()[0] for x in DONE.split(", ")])
 
     hit = sifted(base, spans).join(spans, KEYS).select("doc_id", "text", "spans")
-    return clean.unionByName(hit.mapInArrow(cut, DONE))
+    return clean.unionByName(hit.mapInArrow(released(cut), DONE))
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,30 @@ def test_suffixes_copy_ahead_of_sharer(spark, monkeypatch):
     assert sorted(map(tuple, got)) == removed_by_force(rows)
 
 
+def test_suffixes_in_many_buckets_and_of_long_texts(spark, monkeypatch):
+    """Far more buckets than entries, texts longer than a slice, and texts that polynomial hashes can't tell apart."""
+    rnd = random.Random(21)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    long, part = prose(9000), prose(120)
+    word = thue_morse(4096)
+    rows = [(5, long), (2, prose(700) + long[3900:4300] + prose(300)), (9, prose(50) + long[100:8800] + part), (11, part + prose(2500) + part), (12, long[4950:5050] + prose(10)), (3, word), (4, word.translate(str.maketrans("ab", "ba"))), (6, word[1000:1100]), (7, None)]
+    monkeypatch.setattr(suffixes, "SLICE", 1000)
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 0.01)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 0.5)
+    got = suffixes.deduplicated(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == removed_by_force(rows)
+
+
+def test_common_prefixes():
+    rnd = np.random.default_rng(2)
+    text = rnd.integers(97, 99, 500).astype(np.uint8)
+    text[200:300] = text[40:140]
+    at = np.concatenate([rnd.integers(0, 450, 200), np.array([40, 200, 45, 205, 140, 300])])
+    raw = text.tobytes()
+    want = [next((k for k in range(50) if raw[a + k] != raw[b + k]), 50) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    assert suffixes.common_prefixes(text, at).tolist() == want and max(want) == 50
+
+
 @pytest.mark.parametrize("top", [1, 2, 3, 255])
 def test_suffix_array(top):
     rng = np.random.default_rng(top)
