@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import store
+from loomstone.llm.kernels import released
 
 GAP = 3
 
@@ -173,7 +174,7 @@ def identified(text: str) -> list[tuple[int, int, int, str | None]]:
     so a line that holds one is read whole.
     """
     out, k, done = [], 0, 0
-    tags = {m.start(): m for m in _SPDX.finditer(text)}
+    tags = list(_SPDX.finditer(text))[::-1]  # the next one last
     lines, first, bounds = [], [], list(sentences(text))
     for a, b in bounds:
         first.append(len(lines))
@@ -199,8 +200,8 @@ def identified(text: str) -> list[tuple[int, int, int, str | None]]:
                     out.append((k + found, at, end, name))
                     found, done = found + 1, end
             k += found if joined else max(1, found)
-        for s in [s for s in tags if a <= s < b]:
-            m = tags.pop(s)
+        while tags and tags[-1].start() < b:
+            m = tags.pop()
             end, e = _tag(m)
             out.append((k, m.start(), end, f"tag:{e}"))
             k += 1
@@ -222,7 +223,9 @@ def matched(ids: list[tuple[int, int, int, str | None]]) -> list[tuple[str, str,
                 continue
             took, j = [i], i
             for want in rule[1:]:
-                j = next((x for x in range(took[-1] + 1, len(ids)) if ids[x][3] == want and x not in used and ids[x][0] - ids[took[-1]][0] <= GAP + 1), None)
+                j, at = None, took[-1] + 1
+                while j is None and at < len(ids) and ids[at][0] - ids[took[-1]][0] <= GAP + 1:
+                    j, at = (at if ids[at][3] == want and at not in used else None), at + 1
                 if j is None:
                     break
                 took.append(j)
@@ -240,7 +243,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     """A row for each licence rule that matches in a text, with its stretch of code points.
 
     Null and empty texts match nothing; rows that repeat give repeated rows. A
-    licence that occurs twice in a text is reported twice.
+    licence that occurs twice in a text is reported twice; of rules that match at
+    one sentence the first counts, so there are no ties. The work grows with the
+    length of a text, however many sentences it has. An empty table gives no
+    rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +259,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
     names = ["doc_id", "licence", "kind", "sentences", "start", "end"]
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
+    return docs.select("doc_id", "text").mapInArrow(released(run), SCAN)
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

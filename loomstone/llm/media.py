@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import store, webp
-from loomstone.llm.kernels import buffers, slices
+from loomstone.llm.kernels import buffers, released, slices
 
 WIDTH = 576
 #: Rows of an image at most; a longer payload is several files, one after another.
@@ -46,7 +46,7 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     at += k
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offs[lo : hi + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(key, text).mapInArrow(run, STORED)
+    return docs.select(key, text).mapInArrow(released(run), STORED)
 
 
 def split(media: bytes) -> list[bytes]:
@@ -91,7 +91,7 @@ def read_back(media: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in READ.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in READ.split(", ")]
-    return media.mapInArrow(run, READ)
+    return media.mapInArrow(released(run), READ)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,6 +444,20 @@ def test_licence_notices_over_lines_and_whole_expressions(spark):
     ]
 
 
+def test_licences_in_linear_time():
+    """Twice the sentences or tags, about twice the time."""
+    import time
+
+    def seconds(unit, n):
+        began = time.process_time()
+        got = licences.matched(licences.identified(unit * n))
+        return time.process_time() - began, len(got)
+
+    for unit, each in (("Released under the MIT License. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n", 1), ("SPDX-License-Identifier: MIT\nint x;\n\n", 1), (AS_PUBLISHED["bsd.redistribute"], 1)):
+        few, many = seconds(unit, 2500), seconds(unit, 20_000)
+        assert many[1] == 20_000 * each and many[0] < 30 * max(few[0], 0.05)
+
+
 def test_rules_are_ordered():
     ids = lambda *names: [(k, k, k + 1, n) for k, n in enumerate(names)]
     two = ids("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.asis")
