@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomstone.llm import store, webp
 from loomstone.llm.kernels import buffers, released, slices
@@ -24,7 +25,9 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: every text's UTF-8 bytes, padded with 255 to a positive multiple of WIDTH, as WebP files.
 
-    A null text is an empty one: a row of padding. Equal texts have equal media.
+    A null text is an empty one: a row of padding. Equal texts have equal media,
+    and rows that repeat repeat; a text of any length becomes as many files as it
+    takes. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,5 +97,32 @@ def read_back(media: DataFrame) -> DataFrame:
     return media.mapInArrow(released(run), READ)
 
 
+def pixels(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each image of a column `media` of WebP bytes: key, image (0 on), width, height, pixels (argb, row by row).
+
+    Bytes of several files, one after another, give as many images; null or
+    empty bytes give none, damaged ones raise, and rows that repeat give repeated
+    rows. An image is an array of its own, never more than one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offs = buffers(batch.column(1))
+            for lo, hi in slices(offs, SLICE):
+                files = [split(m or b"") for m in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                images = webp.decode([f for fs in files for f in fs])
+                count = [len(fs) for fs in files]
+                size = np.array([0, *(x.size for x in images)])
+                flat = np.concatenate([np.zeros(0, np.uint32), *(x.reshape(-1) for x in images)]).astype(np.uint32).view(np.int32)
+                cols = [
+                    batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), count))), pa.array([k for n in count for k in range(n)], pa.int32()),
+                    pa.array([x.shape[1] for x in images], pa.int32()), pa.array([x.shape[0] for x in images], pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(flat)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "image", "width", "height", "pixels"])
+
+    rows = media.select(F.col(key).cast("long").alias("key"), "media")
+    return rows.mapInArrow(released(run), "key long, image int, width int, height int, pixels array<int>").withColumnRenamed("key", key)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store.written(stored(store.table(spark, sf_dir, "documents")), "media"))

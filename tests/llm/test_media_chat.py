@@ -83,3 +83,24 @@ def test_conversations(spark):
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, 2: 1, -(2**63): 1, 3: 1, 4: 70}
     assert got[2]["loss_chars"] == 7 and got[1]["loss_chars"] == 0
     assert got[4]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 4).encode()).hexdigest()
+
+
+def test_pixels_of_a_column(spark):
+    """Every image of the stored bytes as an array: all kinds of transforms, several files in a row, nulls."""
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 2**32, (3, 5), dtype=np.uint32), np.full((2, 2), 0xFF00FF00, np.uint32), rng.integers(0, 9, (17, 19)).astype(np.uint32) * np.uint32(0x01010101)]
+    files = [webp.encode(images[0], (("green",),)), webp.encode(images[1], (("palette",),)), webp.encode(images[2], cache_bits=4, reach=300)]
+    rows = [(1, files[0]), (2, files[1] + files[2]), (3, None), (4, b""), (None, files[1]), (1, files[0])]
+    got = media.pixels(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    want = [(1, 0, 0), (2, 0, 1), (2, 1, 2), (None, 0, 1), (1, 0, 0)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    shown = sorted((r["doc_id"], r["image"], r["width"], r["height"], tuple(r["pixels"])) for r in got if r["doc_id"] is not None) + [tuple(r)[:4] + (tuple(r["pixels"]),) for r in got if r["doc_id"] is None]
+    assert shown == [(d, k, images[i].shape[1], images[i].shape[0], tuple(images[i].reshape(-1).view(np.int32).tolist())) for d, k, i in sorted(want, key=key)]
+    assert media.pixels(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+
+
+def test_conversations_long_and_none(spark):
+    rows = [(6, 0, "user", "a"), (7, 0, "assistant", "long " * 50_000)]
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.formatted(chat.replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    assert got == {6: (1, 0), 7: (1, 250_000)}
+    assert chat.read_back(chat.formatted(chat.replies(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
