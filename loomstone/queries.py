@@ -407,7 +407,7 @@ def frontier_reach_all(spark, d):
 
 
 def _shop_pages(spark, d):
-    p, k = t(spark, d, "part"), F.col("p_partkey")
+    p, k = t(spark, d, "part").repartition(spark.sparkContext.defaultParallelism), F.col("p_partkey")  # a small table from which large pages are made
     pod = F.concat(F.lit('<article class="product_pod"><img src="t/'), k, F.lit('.jpg"><h3><a href="../item/'), k, F.lit('.html" title="'), F.when(k % 4 != 3, F.col("p_name")).otherwise(""), F.lit('">'), F.substring("p_name", 1, 4), F.lit("</a></h3>"), F.when(k % 5 != 0, F.concat(F.lit('<p class="price_color">£'), "p_retailprice", F.lit("</p>"))).otherwise(""), F.lit('<p class="instock availability"><i></i>\n In stock \n</p></article>'))
     lists = p.select(F.concat(F.lit("https://b.example.com/list/"), k, F.lit(".html")).alias("url"), F.concat(F.lit("<html><body><section><ol><li>"), pod, F.lit("</ol></section>")).alias("html"))
     body = F.concat(
