@@ -101,7 +101,10 @@ def parsed(text: str) -> list[tuple[str, str]]:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """What the formatted text and its mask hold: conv_id, n_turns, digests and lengths."""
+    """What the formatted text and its mask hold: conv_id, n_turns, digests and lengths.
+
+    conv_id is the tree as a number, null where it is none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +121,21 @@ def read_back(chats: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return chats.select("tree", "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return chats.select(F.col("tree").try_cast("long").alias("tree"), "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def replies(conversations: DataFrame) -> DataFrame:
+def replies(conversations: DataFrame, as_text: bool = False) -> DataFrame:
     """Linear conversations as reply trees: each row answers the one before it by turn (then role, then text).
 
     Rows of one conversation and turn follow each other; so do rows that are
-    the same. A null conv_id is a conversation of its own.
+    the same. A null conv_id is a conversation of its own: as_text, trees are
+    named by the digits of their ids, and it by none, so that read_back gives it
+    back as null; else trees are numbers, and it is the smallest of them.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text")
-    rows = rows.withColumn("tree", F.coalesce("tree", F.lit(-(2**63)))).withColumn("node", F.row_number().over(order).cast("long"))
+    tree = F.coalesce(F.col("tree").cast("string"), F.lit("")) if as_text else F.coalesce("tree", F.lit(-(2**63)))
+    rows = rows.withColumn("tree", tree).withColumn("node", F.row_number().over(order).cast("long"))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
@@ -137,5 +143,5 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, text = TRICKY
     extra = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, LEARNED, text)], "conv_id long, turn long, role string, text string")
     rows = store.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = store.written(formatted(replies(rows)), "chats")
+    chats = store.written(formatted(replies(rows, as_text=True)), "chats")
     return read_back(chats)

@@ -104,3 +104,11 @@ def test_conversations_long_and_none(spark):
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.formatted(chat.replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
     assert got == {6: (1, 0), 7: (1, 250_000)}
     assert chat.read_back(chat.formatted(chat.replies(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
+
+
+def test_conversations_without_an_id(spark, tmp_path):
+    """A null conv_id comes back as null, and apart from the smallest number that an id can be."""
+    rows = [(None, 1, "assistant", "n"), (None, 0, "user", "z"), (-(2**63), 0, "assistant", "min"), (2**63 - 1, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op5_chat(spark, str(tmp_path)).collect()}
+    assert got == {None: (2, 1), -(2**63): (1, 3), 2**63 - 1: (1, 0), -7: (2, len(chat.TRICKY[1]))}
