@@ -237,10 +237,14 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, tag: str, s
 
 
 def _starred(rows: DataFrame, turn: int, way, *more: str) -> DataFrame:
-    """rows with the fields of the set that each token picks in this turn, suffixed 0, and whether others stand beside."""
-    by = Window.partitionBy("token", way).orderBy(F.xxhash64("sig", "token", F.lit(turn)), "n", "sig")
+    """rows with the fields of the set that each token picks in this turn, suffixed 0, and whether others stand beside.
+
+    The hashes that they are ordered by are made after the shuffle, which so doesn't carry them.
+    """
+    dealt = rows.withColumn("way", way).repartition("token", "way").withColumn("order", F.xxhash64("sig", "token", F.lit(turn)))
+    by = Window.partitionBy("token", "way").orderBy("order", "n", "sig")
     first = by.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("*", *(F.first(c).over(first).alias(f"{c}0") for c in ("sig", "n", "pos", *more)), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"), F.count("*").over(Window.partitionBy("token", way)).alias("k"))
+    return dealt.select("*", *(F.first(c).over(first).alias(f"{c}0") for c in ("sig", "n", "pos", *more)), F.lag("sig").over(by).alias("before"), F.lead("sig").over(by).alias("after"), F.count("*").over(Window.partitionBy("token", "way")).alias("k"))
 
 
 def _pairs(stars: DataFrame) -> DataFrame:
