@@ -83,7 +83,7 @@ def schedule(spark: SparkSession, sources: list[Source], block: int) -> DataFram
     slots = slots.withColumn("r", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("id")) - 1)
     slots = slots.join(F.broadcast(before), ["src", "chunk"]).withColumn("r", F.col("r") + F.col("before"))  # no more rows than slots
     hit = slots.where(F.col("r") < F.get(need, F.col("src"))).select(F.col("id").alias("slot"), "src", F.col("r").cast("long").alias("r"))
-    every = spark.createDataFrame([(i, -(-s.taken // block)) for i, s in enumerate(sources) if s.taken], "src int, n long")
+    every = store.local(spark, [(i, -(-s.taken // block)) for i, s in enumerate(sources) if s.taken], "src int, n long")
     every = every.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("r"))
     rest = every.join(hit, ["src", "r"], "left_anti").select((F.lit(n) + F.col("r") * len(sources) + F.col("src")).alias("slot"), "src", "r")
     return hit.unionByName(rest)
@@ -105,7 +105,7 @@ def streams(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> tuple[Data
     rows = ranks.ordered(rows, "last", "source", "shuffle", "doc_id", "rid", tag="mix-rows")
     sources = plan(rows, weights)
     info = [(i, s.name, s.size, s.target, s.taken, s.start) for i, s in enumerate(sources)]
-    info = rows.sparkSession.createDataFrame(info, "src int, name string, source_size long, target double, goal long, src_start long")
+    info = store.local(rows.sparkSession, info, "src int, name string, source_size long, target double, goal long, src_start long")
     rows = ranks.running(rows, end="size").join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name")))  # a row per source
     return rows.select("rid", "pos", "doc_id", "size", "source_size", "target", "goal", "src", (F.col("end") - F.col("size") - F.col("src_start")).alias("at")), sources
 

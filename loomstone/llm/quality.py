@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_feature
         if held > most_features:
             break
         taken.append((r["doc_id"],))
-    few = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    few = store.local(docs.sparkSession, taken, "doc_id long")
     got = rows.join(F.broadcast(few), "doc_id").toArrow()  # at most `most` rows, `most_features` features
     ids = got["doc_id"].to_numpy()
     feats = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in got["f"].combine_chunks()]

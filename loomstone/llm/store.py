@@ -7,8 +7,11 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -29,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's.
+
+    They go as Arrow: a list would pass Python workers of another daemon, which
+    stays on each executor beside that of the functions.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)]
+    return spark.createDataFrame(pa.Table.from_arrays(cols, schema=kind), schema)
+
+
 def fresh(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -45,6 +45,8 @@ BLOCK = 512
 SHARD_IDS = 16 << 20
 SEPARATOR = "<|startoftext|>"
 MEMO_WORDS = 200_000
+#: Ids that are put in place at once.
+BLOCK_IDS = 1 << 16
 
 
 # --- minimal perfect hash -------------------------------------------------
@@ -247,10 +249,12 @@ class WordMemo:
             col = pc.if_else(pa.array(mask), "", col)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.replace_substring_regex(col, self.CLOSING, r"\1 \2\3")))
         coded = lists.flatten().dictionary_encode()
-        vals = self._known(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False)
         offs = np.asarray(lists.offsets, np.int64)
         offs = offs - offs[0]
+        del lists
+        pa.default_memory_pool().release_unused()  # else what the words took stays beside what their ids take
+        vals = self._known(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy(zero_copy_only=False)
         last = np.full(len(col), len(vals), np.int64)  # one more word closes each row, whole texts among them
         vals.append(b"" if end is None else np.array([end], self.kind).tobytes())
         for i, v in whole.items():
@@ -260,9 +264,15 @@ class WordMemo:
         offs = offs + np.arange(len(offs))
         table = np.frombuffer(b"".join(vals), self.kind)
         size = np.fromiter(map(len, vals), np.int64, len(vals)) // self.kind.itemsize
-        n = size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat((np.cumsum(size) - size)[which] - total[:-1], n) + np.arange(total[-1])]
+        first = np.cumsum(size) - size
+        total = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(size[which], out=total[1:])
+        ids = np.empty(total[-1], self.kind)
+        for lo in range(0, len(ids), BLOCK_IDS):  # their places take eight bytes each, the ids two or four
+            hi = min(len(ids), lo + BLOCK_IDS)
+            i, j = np.searchsorted(total, lo, "right") - 1, np.searchsorted(total, hi)
+            n = np.diff(np.clip(total[i : j + 1], lo, hi))
+            ids[lo:hi] = table[np.repeat(first[which[i:j]] - total[i:j], n) + np.arange(lo, hi)]
         return ids, np.diff(total[offs])
 
 
@@ -371,8 +381,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"index of {row['path']} doesn't hold all of its keys")
                 at = shard.place[np.repeat(first - np.concatenate([[0], np.cumsum(rows)[:-1]]), rows) + np.arange(shard.rows)]
                 lo, hi = shard.starts[at], shard.starts[at + 1]
-                wide = np.ascontiguousarray(shard.ids, "<u4").view(np.uint8).data
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(keys, rows), mask=shard.null[at]), pa.array(lo + row["base"]), pa.array(hi - lo), pa.array(crc, pa.int64()), pa.array([row["path"][:11]] * len(crc))],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard"],

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, jaccard, kernels, licences, quality, registry, store, suffixes, token_ids
+from loomstone.llm import decontaminate, jaccard, kernels, licences, mixing, quality, registry, store, suffixes, token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
 
@@ -559,6 +560,43 @@ def test_word_memo_knows_its_tokenizer(tmp_path):
     assert ids.tolist() == [*coder.tok.encode("A Word, two", add_special_tokens=False).ids, 1, 1] and n.tolist() == [len(ids) - 1, 1]
 
 
+def test_word_memo_places_ids_in_parts():
+    """Beside the ids and a few numbers a word, encoding holds the places of some ids only; a text encoded whole counts as a word."""
+    coder, rnd = token_ids.memo(token_ids.vocabulary()), random.Random(3)
+    words = ["".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(40)) for _ in range(50)]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (30_000, 0, 1, 10_000)] + ["<| " + " ".join(words)]
+    own = [coder.tok.encode(x, add_special_tokens=False).ids for x in words]
+    coder.encode(pa.array(texts[:1]), 1)
+    tracemalloc.start()
+    ids, n = coder.encode(pa.array(texts[:4]), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known = dict(zip(words, own, strict=True))
+    assert ids.tolist() == [x for t in texts[:4] for x in [*(i for w in t.split() for i in known[w]), 1]] and len(ids) == n.sum() > 1 << 19
+    assert peak < 10 * len(ids)
+    ids, n = coder.encode(pa.array([texts[4], None, *texts[1:3], texts[4]]), None)
+    whole = coder.tok.encode(texts[4], add_special_tokens=False).ids
+    assert ids.tolist() == [*whole, *known[texts[2]], *whole] and n.tolist() == [len(whole), 0, 0, len(known[texts[2]]), len(whole)]
+
+
+def test_rows_of_the_driver_pass_no_python_worker(spark, tmp_path, monkeypatch):
+    """Lists that Spark parallelizes start another Python daemon on every executor, which stays."""
+    rows = [(i, f"{'good fine' if i % 2 else 'bad poor'} word {i}", "s" if i % 3 else None) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def refused(*_):
+        raise AssertionError("rows pass Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    docs, labels = (store.table(spark, str(tmp_path), x) for x in ("documents", "labels"))
+    assert quality.good(docs, quality.train(docs, labels)).count() > 0
+    assert mixing.mixed(docs).count() == 40 and mixing.remixed(docs).count() > 0
+    got = store.local(spark, [(1, "a", None), (None, None, 2.5)], "x long, y string, z double")
+    assert got.dtypes == [("x", "bigint"), ("y", "string"), ("z", "double")] and [tuple(r) for r in got.orderBy("z").collect()] == [(1, "a", None), (None, None, 2.5)]
+    assert store.local(spark, [], "x int, y string").count() == 0
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-(2**60), 2**60, 5000))
     mph = token_ids.PerfectHash.build(keys)
