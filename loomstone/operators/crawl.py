@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import html as H
 from loomstone.functions import text as X
 from loomstone.functions.urls import url_join
-from loomstone.sources.io import ITEM, written
+from loomstone.sources.io import ITEM, Dealt, written
 
 # The selectors of the shop's listing and detail pages.
 LISTING_POD = "article.product_pod"
@@ -27,22 +27,43 @@ FOLD = 8
 def reach(edges: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFrame:
     """node, depth of all nodes that links lead to from the seeds; each is visited once, so cycles end.
 
-    edges: src, dst. Each round joins the newest nodes with the links and drops
-    those already seen; rounds are written, which keeps the lineage short, and
-    every FOLD rounds what was seen becomes one table, which keeps the plan short.
+    edges: src, dst. The links are dealt by src once, and each round's nodes by
+    node in the same way, so that a round only shuffles what its newest nodes
+    lead to. Those already seen are dropped. Rounds are written, which keeps the
+    lineage short, and every FOLD rounds what was seen becomes one table, which
+    keeps the plan short.
     """
-    seen = written(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
-    new, depth = seen, 0
-    while depth < most:
-        depth += 1
-        nxt = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")).where("node is not null").distinct()
-        new = written(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
-        if depth % FOLD == 0:
-            seen = written(seen, "frontier")
-    return seen
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = Dealt(edges.select("src", "dst").where("src is not null and dst is not null").repartition(n, "src"), "links", "src")
+    first = seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))
+    seen, depth = [Dealt(first.repartition(n, "node"), "frontier", "node")], 0
+    made = [links, *seen]
+    try:
+        new = seen[0]
+        while depth < most:
+            depth += 1
+            # The side held in memory has each node once.
+            nxt = links.table.join(new.table.select("node").hint("shuffle_hash"), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+            for s in seen:
+                nxt = nxt.join(s.table.select("node").hint("shuffle_hash"), "node", "left_anti")
+            new = Dealt(nxt.withColumn("depth", F.lit(depth)), "frontier", "node")
+            made.append(new)
+            if new.table.isEmpty():
+                break
+            seen.append(new)
+            if depth % FOLD == 0:
+                seen = [Dealt(_rows(seen).repartition(n, "node"), "frontier", "node")]
+                made += seen
+        return _rows(seen)
+    finally:
+        for x in made:
+            x.forget()
+
+
+def _rows(tables: list[Dealt]) -> DataFrame:
+    """All rows of tables of one schema, read by their paths."""
+    return tables[0].spark.read.schema(tables[0].schema).parquet(*(x.path for x in tables))
 
 
 def chain(pages: DataFrame, start: str, selector: str = "li.next a::attr(href)") -> DataFrame:

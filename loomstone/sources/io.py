@@ -41,6 +41,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Dealt:
+    """A table in the shared folder, dealt by a key into as many files as there are shuffle partitions.
+
+    Joins and groups by the key read `table` without an exchange. The catalog
+    names it until forget(); the files stay.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, key: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.name = f"{tag}_{uuid.uuid4().hex}"
+        self.path = f"{shared(self.spark)}/{self.name}"
+        df.write.format("parquet").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", self.path).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def forget(self) -> None:
+        self.spark.sql(f"drop table if exists `{self.name}`")
+
+
 # --- sources ----------------------------------------------------------------
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -147,6 +147,25 @@ def test_a_long_chain_keeps_the_plan_short(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= crawl.FOLD
 
 
+def test_reach_shuffles_the_links_once(spark):
+    """Rounds too large for a broadcast shuffle what they lead to, not all links again."""
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    other = spark.range(50_000).select(F.md5(F.col("id").cast("string")).alias("src"), F.md5((-F.col("id") - 1).cast("string")).alias("dst"))
+    edges = io.written(spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)], "src string, dst string").unionByName(other), "links")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = shuffled()
+        edges.repartition(4, "src").write.format("noop").mode("overwrite").save()
+        once, start = shuffled() - start, shuffled()
+        got = crawl.reach(edges, spark.createDataFrame([("n0",)], "node string"))
+        assert 0 < shuffled() - start < 1.5 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["node"]: r["depth"] for r in got.collect()} == {f"n{k}": k for k in range(7)}
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith(("links_", "frontier_"))]
+
+
 def test_settings():
     got = io.FetchSettings.of({"delay": 1.0, "retry_statuses": [500]})
     assert got.delay == 1.0 and got.retry_statuses == (500,) and got.concurrency == 8
