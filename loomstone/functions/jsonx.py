@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,6 +165,39 @@ def _shown(x) -> str | None:
     return json.dumps(x, ensure_ascii=False)
 
 
+def _found(group: list | None, paths: list[str]) -> list[list | None]:
+    """The shown values at each path over all JSON texts of a group, each text read once."""
+    if group is None:
+        return [None] * len(paths)
+    docs = []
+    for t in group:
+        try:
+            v = json.loads(t)
+        except (TypeError, ValueError, RecursionError):  # nested deeper than the reader goes: no JSON to us
+            continue
+        docs += v if isinstance(v, list) else [v]
+    out = []
+    for path in paths:
+        top = docs if path.startswith("$[") or path.startswith("$..") else (docs[0] if docs else None)
+        got = walk(top, path) if top is not None else []
+        out.append([_shown(x) for x in got if x is not None])
+    return out
+
+
+def json_paths(paths: dict[str, str]):
+    """A column function: ARRAY<STRING> of JSON texts to STRUCT with an ARRAY<STRING> for each path, as json_path gives it; the texts are read once."""
+    for path in paths.values():
+        steps(path)
+    texts = pa.list_(pa.string())
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in paths]))
+    def run(groups: pa.Array) -> pa.Array:
+        rows = [_found(g, [*paths.values()]) for g in groups.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], texts) for k in range(len(paths))], names=[*paths])
+
+    return run
+
+
 def json_path(path: str):
     """A column function: ARRAY<STRING> of JSON texts to ARRAY<STRING> of the values at a path over all of them.
 
@@ -173,22 +207,7 @@ def json_path(path: str):
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for group in texts:
-            if group is None:
-                out.append(None)
-                continue
-            docs = []
-            for t in group:
-                try:
-                    v = json.loads(t)
-                except (TypeError, ValueError, RecursionError):  # nested deeper than the reader goes: no JSON to us
-                    continue
-                docs += v if isinstance(v, list) else [v]
-            top = docs if path.startswith("$[") or path.startswith("$..") else (docs[0] if docs else None)
-            got = walk(top, path) if top is not None else []
-            out.append([_shown(x) for x in got if x is not None])
-        return pd.Series(out, dtype=object)
+        return pd.Series([_found(group, [path])[0] for group in texts], dtype=object)
 
     return run
 

@@ -1,7 +1,7 @@
 """A declarative extraction config (a mapping, as YAML gives it), compiled to columns.
 
 Each field names sources in order; the first that yields something is taken.
-All selectors of a page go into one parse. The compiled plan adds one column a
+All selectors of a page go into one parse, and so do all paths of a JSON text. The compiled plan adds one column a
 field to pages with url, html, and optionally status, final_url and the bodies
 of companion requests, each as a column named after the request.
 """
@@ -59,9 +59,9 @@ class Plan:
         if kind == "css":
             return F.col("_css")[f"{name}_{i}"]
         if kind == "json_ld":
-            return J.json_path(s["path"])(F.col("_ld"))
+            return F.col("_ld_found")[f"{name}_{i}"]
         if kind == "json_endpoint":
-            return J.json_path(s["path"])(F.array(s["request"])) if s["request"] in have else none
+            return F.col(f"_found_{s['request']}")[f"{name}_{i}"] if s["request"] in have else none
         if kind == "json_in_html":
             located = re.sub(r"\(\?P<\w+>\\\{\)$", "", s["locator"])
             body = F.regexp_extract("html", rf"(?s){java(located)}(\{{.*)", 1)
@@ -148,7 +148,11 @@ class Plan:
         """pages with a column for each field."""
         have = set(pages.columns)
         out = pages.withColumn("_css", H.html_extract(self.css)("html")) if self.css else pages
-        out = out.withColumn("_ld", J.ld_blocks("html"))
+        every = [(f"{n}_{i}", s) for n in self.fields for i, s in enumerate(self._sources(n))]
+        if ld := {k: s["path"] for k, s in every if s["type"] == "json_ld"}:
+            out = out.withColumn("_ld_found", J.json_paths(ld)(J.ld_blocks("html")))
+        for r in {s["request"]: None for _, s in every if s["type"] == "json_endpoint" and s["request"] in have}:
+            out = out.withColumn(f"_found_{r}", J.json_paths({k: s["path"] for k, s in every if s["type"] == "json_endpoint" and s["request"] == r})(F.array(r)))
         out = out.withColumns({f"_{n}_{i}": self._values(n, i, s, have) for n in self.fields for i, s in enumerate(self._sources(n))})
         cols = {n: self._field(n, have) for n in self.fields}
         if "variants" in self.config["extraction"]:

@@ -38,6 +38,12 @@ def query(sql: str | None = None):
 
 t = io.table
 
+
+def _spread(spark, d, name):
+    """A small table from which larger pages or texts are made: in all tasks, not in the few that its files make."""
+    return t(spark, d, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # --- pages ------------------------------------------------------------------
 
 WS = r"E' \t\n\r\f\v'"
@@ -164,7 +170,7 @@ def event_property(spark, d):
 @query("""select p_partkey, p_name || ', deep ' || p_size as found, 1::bigint as offers from part""")
 def json_descent(spark, d):
     ld = F.concat(F.lit('[{"@type":"Thing","name":"no"},{"@type":"Product","name":"'), F.col("p_name"), F.lit('","offers":{"price":'), F.col("p_size"), F.lit("}}]"))
-    p = t(spark, d, "part").select("p_partkey", F.array(ld).alias("ld"))
+    p = _spread(spark, d, "part").select("p_partkey", F.array(ld).alias("ld"))
     p = p.select("p_partkey", J.json_path("$[?(@['@type'] in ['Product','ProductGroup'])].name")("ld").alias("name"), J.json_path("$..offers.price")("ld").alias("price"))
     return p.select("p_partkey", F.concat(F.get("name", F.lit(0)), F.lit(", deep "), F.get("price", F.lit(0))).alias("found"), F.size("price").cast("long").alias("offers"))
 
@@ -407,7 +413,7 @@ def frontier_reach_all(spark, d):
 
 
 def _shop_pages(spark, d):
-    p, k = t(spark, d, "part").repartition(spark.sparkContext.defaultParallelism), F.col("p_partkey")  # a small table from which large pages are made
+    p, k = _spread(spark, d, "part"), F.col("p_partkey")
     pod = F.concat(F.lit('<article class="product_pod"><img src="t/'), k, F.lit('.jpg"><h3><a href="../item/'), k, F.lit('.html" title="'), F.when(k % 4 != 3, F.col("p_name")).otherwise(""), F.lit('">'), F.substring("p_name", 1, 4), F.lit("</a></h3>"), F.when(k % 5 != 0, F.concat(F.lit('<p class="price_color">£'), "p_retailprice", F.lit("</p>"))).otherwise(""), F.lit('<p class="instock availability"><i></i>\n In stock \n</p></article>'))
     lists = p.select(F.concat(F.lit("https://b.example.com/list/"), k, F.lit(".html")).alias("url"), F.concat(F.lit("<html><body><section><ol><li>"), pod, F.lit("</ol></section>")).alias("html"))
     body = F.concat(
@@ -444,7 +450,7 @@ def config_extraction(spark, d):
     ld = F.when(k % 2 == 0, '{"@type":"Product"}').otherwise('{"@type":"Offer","offers":{"availability":"https://schema.org/OutOfStock"}}')
     html = F.concat(F.lit("<head><meta property='og:image' content='//c/a.jpg?v=1'><meta property=\"og:image\" content=\"https://c/"), k, F.lit('.png"><meta property="og:image" content="https://c/a.jpg"><script type="application/ld+json">'), ld, F.lit("</script><script>var meta = {\"price\": "), F.col("p_size"), F.lit("};</script></head><h1> "), F.col("p_name"), F.lit("\n</h1>"))
     body = F.when(k % 2 == 0, F.concat(F.lit('{"product":{"title":"'), "p_name", F.lit('","variants":[{"sku":"s","price":"'), F.col("p_retailprice"), F.lit('","available":true,"image_id":5},{"available":false}],"images":[{"id":4,"src":"x"},{"id":5,"src":"https://c/a.jpg"}]}}')))
-    pages = t(spark, d, "part").select("p_partkey", F.concat(F.lit(SITE + "/products/p"), k, F.lit("?variant=1")).alias("url"), html.alias("html"), body.alias("product_json"))
+    pages = _spread(spark, d, "part").select("p_partkey", F.concat(F.lit(SITE + "/products/p"), k, F.lit("?variant=1")).alias("url"), html.alias("html"), body.alias("product_json"))
     plan = Plan(config)
     out = plan.valid_response(plan.apply(pages))
     return out.select("p_partkey", "title", "price", "availability", F.array_join("images", " ").alias("images"), "product_url", F.get("variants", F.lit(0))["image"].alias("variant_image"), "valid")
@@ -510,7 +516,7 @@ def absolutized_images(spark, d):
     k = F.col("p_partkey")
     plan = Plan({"extraction": {"images": {"sources": [{"type": "css", "selector": "img", "get": "attr:src"}], "post_process": ["absolutize"]}}})
     src = F.element_at(F.array(*map(F.lit, ("../x.jpg", "?q=1", "/r.jpg", "p.png", "//c/a.jpg", "http://d/e.jpg"))), (k % 6 + 1).cast("int"))
-    pages = t(spark, d, "part").select("p_partkey", F.concat(F.lit(SITE + "/products/a/p"), k, F.lit("?v=1")).alias("url"), F.concat(F.lit('<p><img src="'), src, F.lit('">')).alias("html"))
+    pages = _spread(spark, d, "part").select("p_partkey", F.concat(F.lit(SITE + "/products/a/p"), k, F.lit("?v=1")).alias("url"), F.concat(F.lit('<p><img src="'), src, F.lit('">')).alias("html"))
     return plan.apply(pages).select("p_partkey", "main_image")
 
 
@@ -622,7 +628,7 @@ def product_response(spark, d):
 def balanced_objects(spark, d):
     k = F.col("p_partkey")
     text = F.concat("p_name", F.lit('{"a":{"b":"}\\""},'), F.col("p_size"), F.when(k % 3 < 2, "} } rest {").otherwise(" never"))
-    return t(spark, d, "part").select("p_partkey", J.balanced_object(text, F.length("p_name")).alias("object"))
+    return _spread(spark, d, "part").select("p_partkey", J.balanced_object(text, F.length("p_name")).alias("object"))
 
 
 @query("""select p_partkey, case when p_partkey % 4 = 0 then 'a' || p_partkey end as body from part""")

@@ -166,6 +166,29 @@ def test_reach_shuffles_the_links_once(spark):
     assert not [x for x in spark.catalog.listTables() if x.name.startswith(("links_", "frontier_"))]
 
 
+@pytest.mark.parametrize("name", ["config_extraction", "absolutized_images", "json_descent", "balanced_objects"])
+def test_pages_made_from_one_file_are_read_in_all_tasks(spark, name):
+    from loomstone import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("RoundRobinPartitioning(4)")
+    assert plan.rindex("EvalPython") < at  # the plan shows the last step first
+
+
+def test_json_paths_read_each_text_once(spark):
+    paths = {"a": "$.a", "all": "$..a", "b": "$[*].b", "none": "$.x.y"}
+    texts = [['{"a":1,"c":[{"a":"z"}]}', "no", '[{"b":2},{"a":null}]'], ["[" * 50_000, None], [], None]
+    df = spark.createDataFrame([(x,) for x in texts], "t array<string>")
+    got = df.select(J.json_paths(paths)("t").alias("v"), *(J.json_path(p)("t").alias(n) for n, p in paths.items())).collect()
+    assert all(r["v"].asDict() == {n: r[n] for n in paths} for r in got)
+    assert got[0]["v"]["a"] == ["1"] and got[0]["v"]["all"] == ["1", "z"] and got[3]["v"]["a"] is None
+    page = [("http://h/", "<h1>x</h1>", '{"t":"T","p":"1"}')]
+    config = {"extraction": {n: {"sources": [{"type": "json_endpoint", "request": "body", "path": f"$.{n[0]}"}]} for n in ("title", "price")}}
+    out = Plan(config).apply(spark.createDataFrame(page, "url string, html string, body string"))
+    assert out.first()[3:] == ("T", "1")
+    assert out._jdf.queryExecution().executedPlan().toString().count("run(array(body") == 1
+
+
 def test_settings():
     got = io.FetchSettings.of({"delay": 1.0, "retry_statuses": [500]})
     assert got.delay == 1.0 and got.retry_statuses == (500,) and got.concurrency == 8
