@@ -137,16 +137,19 @@ def html_extract(spec: dict[str, str | tuple[str, dict[str, str]]]):
             dom.compiled(s)
     arrow = to_arrow_type(schema)
 
-    def one(top: dom.Node, v):
-        return dom.select(top, v) if isinstance(v, str) else [{n: dom.select(x, s) for n, s in v[1].items()} for x in dom.nodes(top, v[0])]
+    def one(page: dom.Below, v):
+        if isinstance(v, str):
+            return page.select(v)
+        return [{n: inner.select(s) for n, s in v[1].items()} for inner in map(dom.Below, page.nodes(v[0]))]
 
     @F.arrow_udf(schema)
     def extract(html: pa.Array) -> pa.Array:
-        rows = []
+        cols: list[list] = [[] for _ in spec]
         for h in html.to_pylist():
-            top = dom.parse(h) if h is not None else None
-            rows.append({n: one(top, v) if top is not None else None for n, v in spec.items()})
-        return pa.array(rows, arrow)
+            page = dom.Below(dom.parse(h)) if h is not None else None
+            for col, v in zip(cols, spec.values(), strict=True):
+                col.append(one(page, v) if page is not None else None)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], fields=list(arrow))
 
     return extract
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import html as H
 from loomstone.functions import text as X
-from loomstone.functions.urls import url_join
+from loomstone.functions.urls import url_join, url_joins
 from loomstone.sources.io import ITEM, Dealt, written
 
 # The selectors of the shop's listing and detail pages.
@@ -82,10 +82,10 @@ def listing(pages: DataFrame) -> DataFrame:
     pod = pages.select("url", F.posexplode(H.pods("html", LISTING_POD, LISTING)).alias("pos", "p"))
     price = X.parse_price(_one(F.col("p.price")))
     title = F.coalesce(X.present(_one(F.col("p.name"))), X.clean_text("p.anchor"))
-    href = X.present(_one(F.col("p.href")))
+    pod = pod.withColumn("at", url_joins("url", X.present(_one(F.col("p.href"))), F.coalesce(_one(F.col("p.img")), F.lit(""))))
     return pod.select(
-        F.col("url").alias("page_url"), "pos", url_join("url", href).alias("detail_url"), X.clean_one(title).alias("title"), price["price"].alias("price"), price["currency"].alias("currency"),
-        X.clean_text("p.availability").alias("availability"), url_join("url", F.coalesce(_one(F.col("p.img")), F.lit(""))).alias("image_url"),
+        F.col("url").alias("page_url"), "pos", F.get("at", F.lit(0)).alias("detail_url"), X.clean_one(title).alias("title"), price["price"].alias("price"), price["currency"].alias("currency"),
+        X.clean_text("p.availability").alias("availability"), F.get("at", F.lit(1)).alias("image_url"),
     )
 
 

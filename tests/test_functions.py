@@ -154,3 +154,29 @@ def test_balanced_object(spark):
     cases = [('x{"a": {"b": "}\\"}"}} tail', 1, '{"a": {"b": "}\\"}"}}'), ("{{}", 0, None), ("{}", 1, None), ('{"open', 0, None), (None, 0, None), ("{'a': {}}", 0, "{'a': {}}")]
     df = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(cases)], "i int, s string, p int")
     assert [r[0] for r in df.select(J.balanced_object("s", "p"), "i").orderBy("i").collect()] == [e for _, _, e in cases]
+
+
+def test_plain_tags_give_the_tokenizers_nodes(monkeypatch):
+    """Markup that passes the tokenizer only in parts, against all of it by the tokenizer; and no walk for any number of selectors."""
+    import random
+    from html.parser import HTMLParser
+
+    from loomstone.functions import dom
+
+    parts = [
+        "<div>", "</div>", "<p class='a b'>", '<p class="a">', "</p>", "<br>", "<br/>", "<img src=x>", '<img src="a&amp;b" src="c">', "<a href='q?x=1&copy=2'>", "</a>", '<A ID="u">', "text", "&amp;", "& ", "&#65", "<", "<!", "<!-- c -->",
+        "<script>", "if(a<b){'</p>'}", "</script>", "<title>", "</title>", "<td>", "<tr>", "<table>", "</table>", "<li>", "<ul>", "</ul>", "<p a='x>y'>", '<p a="<b>">', '<p  a="x">', '<p a="x" >', """<p a="x"b='y'>""", "</p >", "</>", "<p/>", '<p a="x', "<o:p>",
+    ]
+    shown = lambda n: n if isinstance(n, str) else (n.tag, n.attrs, n.index, [shown(k) for k in n.kids])
+    rnd = random.Random(3)
+    pages = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 20))) for _ in range(3000)]
+    mine = [shown(dom.parse(h)) for h in pages]
+    with monkeypatch.context() as m:
+        m.setattr(dom._Builder, "goahead", HTMLParser.goahead)
+        assert [shown(dom.parse(h)) for h in pages] == mine
+    walks = []
+    walk = dom.Node.walk
+    monkeypatch.setattr(dom.Node, "walk", lambda n: walks.append(n) or walk(n))
+    page = dom.Below(dom.parse("<ul id=u class='x y'><li><a href=1>one</a><li><a href=2>two</a></ul><p class=y>z</p>"))
+    got = {s: page.select(s) for s in ("#u a::text", "li > a::attr(href)", ".y", "ul.x.y li", "ul ~ p::text", "*[class]")}
+    assert got == {"#u a::text": ["one", "two"], "li > a::attr(href)": ["1", "2"], ".y": ["onetwo", "z"], "ul.x.y li": ["one", "two"], "ul ~ p::text": ["z"], "*[class]": ["onetwo", "z"]} and not walks
